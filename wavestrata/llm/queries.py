@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from wavestrata.llm.chat import op4_chat_formatting
+from wavestrata.llm.fingerprint import op1_quartile_digest
+from wavestrata.llm.packing import op6_best_fit_packing
 from wavestrata.llm.substring_dedup import op7_substring_dedup
+from wavestrata.llm.url_filter import OP3_SQL, op3_url_filters
 
 QUERIES = {
+    "op1_quartile_digest": op1_quartile_digest,
+    "op3_url_filters": op3_url_filters,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filters": OP3_SQL}
