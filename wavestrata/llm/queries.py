@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from wavestrata.llm.chat import op4_chat_formatting
 from wavestrata.llm.fingerprint import op1_quartile_digest
+from wavestrata.llm.knn import OP10_SQL, op10_voronoi_top_k
+from wavestrata.llm.mixing import mixing_sql, op9_poisson_mixing
 from wavestrata.llm.packing import op6_best_fit_packing
 from wavestrata.llm.substring_dedup import op7_substring_dedup
 from wavestrata.llm.url_filter import OP3_SQL, op3_url_filters
@@ -14,5 +16,11 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_poisson_mixing": op9_poisson_mixing,
+    "op10_voronoi_top_k": op10_voronoi_top_k,
+}
+ORACLES: dict[str, str] = {
+    "op3_url_filters": OP3_SQL,
+    "op9_poisson_mixing": mixing_sql(),
+    "op10_voronoi_top_k": OP10_SQL,
 }
-ORACLES: dict[str, str] = {"op3_url_filters": OP3_SQL}
