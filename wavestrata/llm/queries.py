@@ -7,6 +7,7 @@ from wavestrata.llm.fingerprint import op1_quartile_digest
 from wavestrata.llm.knn import OP10_SQL, op10_voronoi_top_k
 from wavestrata.llm.mixing import mixing_sql, op9_poisson_mixing
 from wavestrata.llm.packing import op6_best_fit_packing
+from wavestrata.llm.quality import op5_quality_classifier
 from wavestrata.llm.substring_dedup import op7_substring_dedup
 from wavestrata.llm.url_filter import OP3_SQL, op3_url_filters
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_quartile_digest": op1_quartile_digest,
     "op3_url_filters": op3_url_filters,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_poisson_mixing": op9_poisson_mixing,
