@@ -5,6 +5,7 @@ from __future__ import annotations
 from wavestrata.llm.chat import op4_chat_formatting
 from wavestrata.llm.fingerprint import op1_quartile_digest
 from wavestrata.llm.knn import OP10_SQL, op10_voronoi_top_k
+from wavestrata.llm.license_scan import op8_license_scan
 from wavestrata.llm.mixing import mixing_sql, op9_poisson_mixing
 from wavestrata.llm.packing import op6_best_fit_packing
 from wavestrata.llm.quality import op5_quality_classifier
@@ -18,11 +19,13 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_poisson_mixing": op9_poisson_mixing,
     "op10_voronoi_top_k": op10_voronoi_top_k,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filters": OP3_SQL,
+    "op8_license_scan": op8_license_scan,
     "op9_poisson_mixing": mixing_sql(),
     "op10_voronoi_top_k": OP10_SQL,
 }
