@@ -20,12 +20,12 @@ def cells(h: np.ndarray, depth: int, bits: int) -> np.ndarray:
     return np.stack([(mix(h ^ U64(_SALT[d])) >> U64(64 - bits)).astype(np.int64) + (d << bits) for d in range(depth)])
 
 
-def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], depth: int, bits: int, most: int) -> np.ndarray:
+def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], depth: int, bits: int, most: int, flags: bool = False) -> np.ndarray:
     """Counts of all hashes that the function finds in df's batches; counts over most stay at most.
 
     Each partition counts for itself and sends each block of cells once, as a list of the
     non-zero ones or whole, whichever is smaller. Blocks are summed on the executors. The driver gets
-    depth * 2**bits bytes (most < 256), whatever the input.
+    one or two bytes a cell, or with flags one bit that says whether the count is most, whatever the input.
     """
     width = (depth << bits) // BLOCKS
 
@@ -59,13 +59,14 @@ def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
                     out[at] = np.minimum(out[at] + np.frombuffer(raw, kind, n, 4 * n), most)
                 else:
                     out = np.minimum(out + np.frombuffer(raw, kind), most)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.astype(kind).tobytes()], pa.binary())], ["block", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(np.packbits(out == most, bitorder="little") if flags else out.astype(kind)).tobytes()], pa.binary())], ["block", "cells"])
 
     parts = df.mapInArrow(partial, "block int, sparse boolean, cells binary")
     sums = parts.groupBy("block").applyInArrow(total, "block int, cells binary")
-    out = np.zeros(depth << bits, np.uint8 if most < 256 else np.uint16)
+    kind, width = (np.uint8, width // 8) if flags else (np.uint8 if most < 256 else np.uint16, width)
+    out = np.zeros(width * BLOCKS, kind)
     for row in sums.toLocalIterator():
-        out[row.block * width : (row.block + 1) * width] = np.frombuffer(row.cells, out.dtype)
+        out[row.block * width : (row.block + 1) * width] = np.frombuffer(row.cells, kind)
     return out
 
 
@@ -78,5 +79,13 @@ def estimates(sketch: np.ndarray, h: np.ndarray, depth: int, bits: int) -> np.nd
     return out
 
 
+def flagged(sketch: np.ndarray, h: np.ndarray, depth: int, bits: int) -> np.ndarray:
+    """For each hash whether all its cells are flagged."""
+    out = np.ones(len(h), bool)
+    for at in cells(h, depth, bits):
+        out &= (sketch[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
 def char_total(df: DataFrame, column: str = "text") -> int:
     return int(df.select(F.sum(F.octet_length(column)).alias("n")).first().n or 0)

@@ -6,12 +6,13 @@
    overestimates the count of every window and a window with an estimate of 1 is unique.
    The sketch has a fixed size, whatever the input.
 2. A second pass looks at windows estimated repeated only. Each batch settles what repeats
-   inside it; the first of each window goes to an exact grouping by the 64-bit window hash,
-   so a passage in a third of all documents sends one row per batch.
+   inside it; the first of each window goes to an exact grouping by minimizer (64 bits) and
+   window hash (48 bits), windows of one minimizer in one row. So a passage in a third of all
+   documents sends a few rows per batch.
 3. The marks meet the texts again by document, and the words they cover go.
 
 As the input outgrows the sketch, more unique windows reach step 2; results do not change.
-Two different windows share a 64-bit hash with probability 2**-64.
+Two different windows are taken for the same with probability 2**-64 in a batch, 2**-112 between batches.
 
 Rows: a null text is empty; empty texts and texts with fewer words than a window lose
 nothing; a null doc_id comes after all others; of rows with the same doc_id and start none is
@@ -25,15 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavestrata.llm.sketch import estimates, merged_sketch
-from wavestrata.llm.store import written
+from wavestrata.llm.sketch import flagged, merged_sketch
+from wavestrata.llm.store import partitions, written
 from wavestrata.llm.textkit import U64, as_long, hash_words, mix, row_groups, text_buffers, word_spans
 
 _LAST = np.iinfo(np.int64).max
+_BYTES = 6  # of a window's hash, beside the 8 of its minimizer's
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,7 +99,7 @@ def _minimizers(window: int, gram: int):
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
         data, offsets = text_buffers(batch.column(0))
         out = []
-        for a, b in row_groups(offsets):
+        for a, b in row_groups(offsets, 4 << 20):
             w = _Windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram, False)
             if len(w.place):
                 out.append(w.least[np.flatnonzero(np.diff(w.place, prepend=-1))])  # places never go back
@@ -106,15 +108,72 @@ def _minimizers(window: int, gram: int):
     return hashes
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
-
-
-def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, depth: int = 2, bits: int = 25) -> DataFrame:
-    """(doc_id, text_key, starts): the starts, in words, of windows that also start earlier."""
+_RUNS = "least long, doc_id long, text_key long, start int, n int, hashes binary"
+
+
+def _runs(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray, place: np.ndarray, least: np.ndarray | None, h: np.ndarray) -> pa.RecordBatch:
+    """Windows of one minimizer that follow each other as one row; without least, all that follow each other."""
+    order = np.lexsort((start, row))
+    row, start, place, h = row[order], start[order], place[order], h[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+    if least is not None:
+        new[1:] |= place[1:] != place[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(row)))
+    if least is None:
+        keys, hashes = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.binary())
+    else:
+        raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+        bounds = np.append(first, len(row)).astype(np.int32) * _BYTES
+        keys, hashes = pa.array(as_long(least[order][first])), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+    at = pa.array(row[first])
+    return pa.RecordBatch.from_arrays([keys, batch.column(0).take(at), batch.column(1).take(at), pa.array(start[first], pa.int32()), pa.array(size, pa.int32()), hashes], ["least", "doc_id", "text_key", "start", "n", "hashes"])
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by minimizer, the windows that another run has earlier, as (doc_id, text_key, start, n)."""
+
+    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = table["doc_id"].combine_chunks()
+        size = table["n"].to_numpy()
+        run = np.repeat(np.arange(len(size)), size)
+        start = table["start"].to_numpy().astype(np.int64)[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+        raw = np.zeros((len(run), 8), np.uint8)
+        raw[:, :_BYTES] = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint8).reshape(-1, _BYTES)
+        h, group, doc = raw.view("<u8")[:, 0], table["least"].to_numpy()[run], ids.fill_null(_LAST).to_numpy(zero_copy_only=False)[run]
+        order = np.lexsort((start, doc, h, group))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (group[order][1:] != group[order][:-1])
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        found = order[(doc[order] != doc[first]) | (start[order] != start[first])]
+        if len(found):
+            found.sort()  # by run, then start
+            new = np.ones(len(found), bool)
+            new[1:] = found[1:] != found[:-1] + 1
+            new[1:] |= run[found][1:] != run[found][:-1]
+            head = np.flatnonzero(new)
+            at = pa.array(run[found[head]])
+            yield pa.RecordBatch.from_arrays([ids.take(at), table["text_key"].combine_chunks().take(at), pa.array(start[found[head]], pa.int32()), pa.array(np.diff(np.append(head, len(found))), pa.int32())], ["doc_id", "text_key", "start", "n"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        least = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(least, least[-1])) if len(least) else 0
+        if cut == 0 and held and len(least) and held[-1].column(0)[0].as_py() == least[0]:
+            held.append(batch)
+            continue
+        yield from settle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+        held = [batch.slice(cut)]
+    if held:
+        yield from settle(pa.Table.from_batches(held))
+
+
+def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, depth: int = 3, bits: int = 25) -> DataFrame:
+    """(doc_id, text_key, runs): where, in words, windows that also start earlier begin, as (start, n)."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), _minimizers(window, gram), depth, bits, 2))
+    shared = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), _minimizers(window, gram), depth, bits, 2, flags=True))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
@@ -122,40 +181,31 @@ def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, depth: in
             ids = batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column(2))
             found = []
-            for a, b in row_groups(offsets):
+            for a, b in row_groups(offsets, 4 << 20):
                 w = _Windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram, True)
                 if len(w.hash):
-                    keep = np.flatnonzero(estimates(sketch, w.least, depth, bits) > 1)
-                    found.append((w.hash[keep], w.row[keep] + a, w.start[keep]))
+                    keep = np.flatnonzero(flagged(sketch, w.least, depth, bits))
+                    found.append((w.hash[keep], w.row[keep] + a, w.start[keep], w.place[keep], w.least[keep]))
             if not found:
                 continue
-            h, row, start = (np.concatenate(x) for x in zip(*found, strict=True))
+            h, row, start, place, least = (np.concatenate(x) for x in zip(*found, strict=True))
             if not len(h):
                 continue
             order = np.lexsort((start, ids[row], h))
-            h, row, start = h[order], row[order], start[order]
-            group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))
-            first = np.flatnonzero(np.diff(group, prepend=-1))[group]
-            known = (ids[row] != ids[row[first]]) | (start != start[first])
-            used, where = np.unique(row, return_inverse=True)
-            by_row = np.argsort(where, kind="stable")
-            a, b = by_row[known[by_row]], by_row[~known[by_row]]
-            bounds = [np.concatenate([[0], np.cumsum(np.bincount(where[x], minlength=len(used)))]) for x in (a, b)]
-            at = pa.array(used)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), _lists(start[a], bounds[0], pa.int64()), _lists(as_long(h[b]), bounds[1], pa.int64()), _lists(start[b], bounds[1], pa.int64())],
-                ["doc_id", "text_key", "known", "hashes", "starts"],
-            )
+            new = np.ones(len(h), bool)
+            new[1:] = h[order][1:] != h[order][:-1]
+            first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            again = (ids[row[order]] != ids[row[first]]) | (start[order] != start[first])
+            for x, known in ((order[again], True), (order[~again], False)):
+                if len(x):
+                    yield _runs(batch, row[x], start[x], place[x], None if known else least[x], h[x])
 
     keyed = texts.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    found = written(keyed.mapInArrow(settle, "doc_id long, text_key long, known array<long>, hashes array<long>, starts array<long>"), "windows")
-    firsts = found.select("doc_id", "text_key", F.explode(F.arrays_zip("hashes", "starts")).alias("w"))
-    firsts = firsts.select("doc_id", "text_key", F.col("w.hashes").alias("h"), F.col("w.starts").alias("start"))
-    place = F.struct(F.coalesce("doc_id", F.lit(int(_LAST))), F.col("start"))
-    later = firsts.withColumn("earliest", F.min(place).over(Window.partitionBy("h"))).where(place > F.col("earliest"))
-    marks = later.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"))
-    own = found.where(F.size("known") > 0).select("doc_id", "text_key", F.col("known").alias("starts"))
-    return marks.unionByName(own).groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    found = written(keyed.mapInArrow(settle, _RUNS), "windows")
+    own = found.where("least IS NULL").select("doc_id", "text_key", "start", "n")
+    first = found.where("least IS NOT NULL").repartition(partitions(spark), "least").sortWithinPartitions("least")
+    marks = own.unionByName(first.mapInArrow(_later, "doc_id long, text_key long, start int, n int"))
+    return marks.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, **sketch: int) -> DataFrame:
@@ -167,10 +217,10 @@ def dedup_substrings(docs: DataFrame, window: int = 20, **sketch: int) -> DataFr
     """
     added = ("n_words", "n_removed", "kept_sha256")
     docs = docs.drop(*added)
-    marks = repeated_windows(docs, window, **sketch).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("starts").alias("__starts"))
+    marks = repeated_windows(docs, window, **sketch).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("runs").alias("__runs"))
     keyed = docs.withColumns({"__own": F.col("doc_id").cast("long"), "__text_key": F.xxhash64("text")})
     both = keyed.join(marks, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
-    both = both.select(*docs.columns, "__starts")
+    both = both.select(*docs.columns, "__runs")
     names = docs.columns
     place = names.index("text")
 
@@ -185,9 +235,9 @@ def dedup_substrings(docs: DataFrame, window: int = 20, **sketch: int) -> DataFr
                 keep = np.ones(len(s), bool)
                 if marks:
                     change = np.zeros(len(s) + 1, np.int64)
-                    marks = np.asarray(marks)
-                    change[marks] += 1
-                    np.subtract.at(change, marks + window, 1)
+                    for r in marks:
+                        change[r["start"]] += 1
+                        change[r["start"] + r["n"] - 1 + window] -= 1
                     keep = np.cumsum(change[:-1]) == 0
                 kept = b" ".join([data[x:y].tobytes() for x, y in zip(s[keep].tolist(), e[keep].tolist(), strict=True)])
                 n = int(len(s) - keep.sum())
