@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wavestrata.llm.chat import op4_chat_formatting
 from wavestrata.llm.fingerprint import op1_quartile_digest
+from wavestrata.llm.jaccard_join import op2_ngram_jaccard
 from wavestrata.llm.knn import OP10_SQL, op10_voronoi_top_k
 from wavestrata.llm.license_scan import op8_license_scan
 from wavestrata.llm.mixing import mixing_sql, op9_poisson_mixing
@@ -14,6 +15,7 @@ from wavestrata.llm.url_filter import OP3_SQL, op3_url_filters
 
 QUERIES = {
     "op1_quartile_digest": op1_quartile_digest,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_url_filters": op3_url_filters,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_classifier": op5_quality_classifier,
@@ -24,6 +26,7 @@ QUERIES = {
     "op10_voronoi_top_k": op10_voronoi_top_k,
 }
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_url_filters": OP3_SQL,
     "op8_license_scan": op8_license_scan,
     "op9_poisson_mixing": mixing_sql(),
