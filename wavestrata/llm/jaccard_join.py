@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavestrata.llm.components import components
@@ -96,8 +96,6 @@ def _described(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 def _live(described: DataFrame) -> DataFrame:
     """(token, part, parts, key, n, central, place) of prefix n-grams that may be in another class too."""
-    from pyspark.sql import Window
-
     each = described.where("tokens IS NOT NULL").select("key", "n", "central", F.posexplode(F.arrays_zip("tokens", "parts")).alias("place", "t"))
     each = each.select(F.col("t.tokens").alias("token"), F.when(F.col("t.parts") > 1, F.pmod(F.xxhash64("key"), F.col("t.parts"))).otherwise(0).cast("int").alias("part"), F.col("t.parts").alias("parts"), "key", "n", "central", "place")
     own = Window.partitionBy("token", "part")
@@ -230,10 +228,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component, the one with the least doc_id; rows without doc_id stay."""
+    """docs with one document of each component, the one with the least doc_id.
+
+    Rows of one doc_id are one document and one of them stays; rows without doc_id all stay.
+    """
     kept = near_duplicates(docs, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return known.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    found = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return found.withColumn("__again", again).where("__again = 1").drop("__again").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

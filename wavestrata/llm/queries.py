@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from wavestrata.llm.chat import op4_chat_formatting
 from wavestrata.llm.fingerprint import op1_quartile_digest
 from wavestrata.llm.jaccard_join import op2_ngram_jaccard
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_poisson_mixing": op9_poisson_mixing,
     "op10_voronoi_top_k": op10_voronoi_top_k,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
