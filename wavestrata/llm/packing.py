@@ -37,7 +37,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         words = WordTokenizer.of_worker(tokenizer)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for a, b in row_groups(offsets, 4 << 20):
+            for a, b in row_groups(offsets, 2 << 20):
                 flat, bounds = words.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
                 n = -(-np.diff(bounds) // capacity)
                 row = np.repeat(np.arange(b - a), n)
@@ -125,7 +125,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most capacity rows
     shared = spark.sparkContext.broadcast(_places(packing_plan(counts, capacity)))
     own = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = salted.withColumn("__row", own).join(F.broadcast(first), ["length", "__salt"])  # capacity * salts rows at most
+    ranked = salted.withColumn("__row", own).join(first, ["length", "__salt"])  # partitioned alike already
     ranked = ranked.select(*pieces.columns, (F.col("__first") + F.col("__row") - 1).alias("__rank"))
     at, names = pieces.columns.index("length"), [*pieces.columns, "sequence_id", "offset"]
 

@@ -9,7 +9,7 @@ import numpy as np
 
 from wavestrata.llm.textkit import U64, hash_words, word_spans
 
-_MOST_WORDS = 2_000_000
+_MOST_WORDS, _AT_ONCE = 1_000_000, 10_000
 
 
 class WordTokenizer:
@@ -43,7 +43,7 @@ class WordTokenizer:
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         encode = getattr(self.encoder, "encode_batch_fast", self.encoder.encode_batch)
-        ids = [x.ids for x in encode(words, add_special_tokens=False)]
+        ids = [x.ids for a in range(0, len(words), _AT_ONCE) for x in encode(words[a : a + _AT_ONCE], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
         at = self.filled + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
