@@ -167,7 +167,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), cell_of[g])), batch.column(0).take(at), batch.column(1).take(at)], ["cell", "vec_id", "v"])
 
     sent = data.mapInArrow(send, "cell long, vec_id long, v binary").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
-    dealt = queries.select("cell", "query_id", "q").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    dealt = queries.select("cell", "query_id", "q", "reached").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -176,6 +176,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
             q, x = _matrix(left["q"].to_pylist()), _matrix(right["v"].to_pylist())
             for a in range(0, len(ids), 256):
                 rows += best(ids[a : a + 256], scores(q[a : a + 256], x), data_ids, k)
+            least_of = dict(zip(ids.tolist(), left["reached"].to_pylist(), strict=True))
+            rows = [r for r in rows if r[2] >= least_of[r[0]]]  # k shown vectors reach that already
         columns = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
