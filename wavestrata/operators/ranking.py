@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def row_numbers(rows: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
@@ -14,7 +15,11 @@ def row_numbers(rows: DataFrame, order: str, name: str, start: int = 0) -> DataF
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(rows.approxQuantile(order, [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
+    if isinstance(rows.schema[order].dataType, T.NumericType):
+        cuts = sorted(set(rows.approxQuantile(order, [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
+    else:  # quantiles of a bounded sample by hash
+        picked = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(16 * n).collect())
+        cuts = sorted({picked[len(picked) * k // n] for k in range(1, n)}) if picked else []
     place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
     placed = rows.withColumn("__range", F.when(F.col(order).isNull(), -1).otherwise(place))
     counts = sorted((r[0], r[1]) for r in placed.groupBy("__range").count().collect())
