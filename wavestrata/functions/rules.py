@@ -36,7 +36,7 @@ def compression_class(codec: Column | str) -> Column:
         F.lit(UNKNOWN),
         (name.startswith("pcm_") | name.startswith("dsd_") | name.isin(RAW_NAMES), F.lit(RAW)),
         (name.isin(LOSSLESS_NAMES), F.lit(LOSSLESS)),
-        (name.isin(LOSSY_NAMES) | name.startswith("adpcm_") | name.rlike("^g7.*[0-9]"), F.lit(LOSSY)),
+        (name.isin(LOSSY_NAMES) | name.startswith("adpcm_") | name.startswith("g7"), F.lit(LOSSY)),
     )
 
 

@@ -23,7 +23,7 @@ def level_difference_db(left: Column, right: Column) -> Column:
 
 def to_int16(x: Column) -> Column:
     """Sample in [-1, 1] as a 16-bit integer, clipped, then cut towards zero."""
-    return F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), x.cast("double") * 32767)).cast("smallint")
+    return F.when(x.isNotNull(), F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), x.cast("double") * 32767)).cast("smallint"))
 
 
 def to_float32(x: Column) -> Column:

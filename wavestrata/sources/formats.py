@@ -430,7 +430,7 @@ def opus_stream(data: bytes) -> Stream | None:
     packets = next((p for p in ogg_packets(data).values() if p and p[0][:8] == b"OpusHead"), None)
     if packets is None:
         return None
-    channels, skip, rate = struct.unpack_from("<BHI", packets[0], 9)
+    channels, skip, rate = struct.unpack_from("<BHI", packets[0], 9)  # after the version byte
     pages = ogg_pages(data)
     tags: dict[str, str] = {}
     if len(packets) > 1 and packets[1][:8] == b"OpusTags":
