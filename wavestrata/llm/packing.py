@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavestrata.llm.store import partitions, written
-from wavestrata.llm.textkit import row_groups, text_buffers
+from wavestrata.llm.textkit import release_memory, row_groups, text_buffers
 from wavestrata.llm.tokens import WordTokenizer
 
 CAPACITY = 2048
@@ -34,6 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """(doc_id, piece, start, length, ids_crc32) of every text; with keep_ids also the ids."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         words = WordTokenizer.of_worker(tokenizer)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavestrata.llm.textkit import U64, mix
+from wavestrata.llm.textkit import U64, mix, release_memory
 
 BLOCKS = 64
 _SALT = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
@@ -30,6 +30,7 @@ def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
     width = (depth << bits) // BLOCKS
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         count = np.zeros(depth << bits, np.uint8 if most < 256 else np.uint16)
         seen = False
         for batch in batches:

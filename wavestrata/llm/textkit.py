@@ -8,6 +8,7 @@ with probability about 2**-64; the operators that use the hashes name this.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,7 +137,7 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     With fewer words than n, the whole sequence is the one n-gram; without words, there is none.
     """
     data, offsets = text_buffers(column)
-    for a, b in row_groups(offsets):
+    for a, b in row_groups(offsets, 2 << 20):
         part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, rows = word_spans(part, off)
         words = hash_words(part, starts, ends, lower=True)
@@ -151,5 +152,13 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, U64)
 
 
+def release_memory() -> None:
+    """Give memory that earlier tasks of this Python worker have freed back to the system, where that is possible."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 
 from wavestrata.llm.textkit import U64, hash_words, word_spans
 
-_MOST_WORDS, _AT_ONCE = 1_000_000, 10_000
+_MOST_WORDS, _AT_ONCE = 2_000_000, 5_000
 
 
 class WordTokenizer:
@@ -23,14 +25,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.kind = np.uint16 if self.encoder.get_vocab_size() <= 1 << 16 else np.uint32
         self._reset()
 
     def _reset(self) -> None:
         self.keys = np.zeros(0, U64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.pool = [np.zeros(1, np.uint32)]  # id 0 is at place 0
-        self.filled = 1
+        self.at = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
+        self.pool = np.zeros(1, self.kind)  # id 0 is at place 0
 
     @classmethod
     def of_worker(cls, path: str) -> WordTokenizer:
@@ -41,14 +43,16 @@ class WordTokenizer:
             kept[path] = cls(path)
         return kept[path]
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, words: Iterator[str]) -> None:
+        """Adds new words, given in the order of their keys, a slice at a time."""
         encode = getattr(self.encoder, "encode_batch_fast", self.encoder.encode_batch)
-        ids = [x.ids for a in range(0, len(words), _AT_ONCE) for x in encode(words[a : a + _AT_ONCE], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        at = self.filled + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        self.pool.append(flat)
-        self.filled += len(flat)
+        size, flat = np.empty(len(keys), np.int32), [self.pool]
+        for a in range(0, len(keys), _AT_ONCE):
+            ids = [x.ids for x in encode(list(islice(words, _AT_ONCE)), add_special_tokens=False)]
+            size[a : a + len(ids)] = [len(x) for x in ids]
+            flat.append(np.fromiter(chain.from_iterable(ids), self.kind))
+        at = (len(self.pool) + np.cumsum(size) - size).astype(np.int32)
+        self.pool = np.concatenate(flat)
         where = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
 
@@ -62,17 +66,16 @@ class WordTokenizer:
         new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != h) if len(self.keys) else np.arange(len(h))
         if len(new):
             spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-            self._learn(h[new], [data[a:b].tobytes().decode() for a, b in spans])
+            self._learn(h[new], (data[a:b].tobytes().decode() for a, b in spans))
             place = np.searchsorted(self.keys, h)
-        if len(self.pool) > 1:
-            self.pool = [np.concatenate(self.pool)]
         n = len(offsets) - 1
         at, size = np.zeros(len(starts) + n, np.int64), np.ones(len(starts) + n, np.int64)
         text = np.arange(len(starts)) + np.repeat(np.arange(n), np.diff(rows))
         at[text], size[text] = self.at[place][back], self.size[place][back]
         bounds = np.concatenate([[0], np.cumsum(size)])
-        flat = self.pool[0][np.repeat(at - bounds[:-1], size) + np.arange(bounds[-1])]
+        flat = self.pool[np.repeat(at - bounds[:-1], size) + np.arange(bounds[-1])]
         closing = rows[1:] + np.arange(n)
         if end_id:
+            flat = flat.astype(np.uint32)
             flat[bounds[closing]] = end_id
         return flat, np.concatenate([[0], bounds[closing + 1]])
