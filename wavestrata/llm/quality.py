@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavestrata.llm.store import partitions, written
-from wavestrata.llm.textkit import hash_words, ngram_hashes, row_groups, text_buffers, word_spans
+from wavestrata.llm.textkit import hash_words, ngram_hashes, release_memory, row_groups, text_buffers, word_spans
 
 RANDOM, SEED, RIDGE, BINS, BLOCK = 256, 11, 1e-3, 2000, 32
 LOW, HIGH = -0.5, 1.5
@@ -118,11 +118,11 @@ class Model:
     weights: np.ndarray
     at: np.ndarray
     value: np.ndarray
+    order: float = 0.001  # share of a second term, which keeps the order of values that the calibration puts together
 
     def score(self, x: np.ndarray) -> np.ndarray:
         raw = random_features(x, self.mean, self.scale) @ self.weights
-        # the second term keeps the order of values that the calibration puts together
-        return 0.999 * np.interp(raw, self.at, self.value) + 0.001 / (1 + np.exp(-4 * (raw - 0.5)))
+        return (1 - self.order) * np.interp(raw, self.at, self.value) + self.order / (1 + np.exp(-4 * (raw - 0.5)))
 
 
 def random_features(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -197,7 +197,7 @@ def fit(features: DataFrame, labelled: DataFrame) -> Model:
     n, ones = both[-1, width - 1], both[-1, width]
     if n == 0 or ones in (0, n):
         value = 0.5 if n == 0 else ones / n
-        return Model(mean, scale, solve(both), np.array([0.0, 1.0]), np.array([value, value]))
+        return Model(mean, scale, solve(both), np.array([0.0, 1.0]), np.array([value, value]), 0.0)
     own = [solve(s) for s in folds]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +233,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     place = names.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             score = model.score(statistics(batch.column(place)).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "held_out", "score", "predicted"])
