@@ -107,3 +107,21 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     return summarize(format_conversations(given.unionByName(more)))
+
+
+OP4_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)),
+sized AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    length('<|turn|><|text|><|end|>') + length(role) + length(text) + len(regexp_extract_all(role, p)) + len(regexp_extract_all(text, p)) AS size
+  FROM rows, (SELECT '<\\*(?:\|(?:turn|text|end|im_start|im_end|endoftext)\|>|/?s>|/?<SYS>>|</SYS>>)|\[\\*/?INST\]' AS p)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM sized)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  (coalesce(sum(length(text)) FILTER (role = 'assistant'), 0))::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(upto) FILTER (role = 'assistant' OR k = n))::BIGINT AS formatted_chars
+FROM summed GROUP BY conv_id
+"""
