@@ -28,7 +28,8 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Tabl
         if last == 0 and held and all(held[-1].column(k)[held[-1].num_rows - 1] == batch.column(k)[0] for k in range(keys)):
             held.append(batch)
             continue
-        yield pa.Table.from_batches([*held, batch.slice(0, last)])
+        if held or last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
         held = [batch.slice(last)]
     if held:
         yield pa.Table.from_batches(held)

@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavestrata.llm.runs import whole_runs
 from wavestrata.llm.sketch import flagged, merged_sketch
 from wavestrata.llm.store import partitions, written
-from wavestrata.llm.textkit import U64, as_long, hash_words, mix, row_groups, text_buffers, word_spans
+from wavestrata.llm.textkit import U64, as_long, hash_words, mix, release_memory, row_groups, text_buffers, word_spans
 
 _LAST = np.iinfo(np.int64).max
 _BYTES = 6  # of a window's hash, beside the 8 of its minimizer's
@@ -156,17 +157,8 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = pa.array(run[found[head]])
             yield pa.RecordBatch.from_arrays([ids.take(at), table["text_key"].combine_chunks().take(at), pa.array(start[found[head]], pa.int32()), pa.array(np.diff(np.append(head, len(found))), pa.int32())], ["doc_id", "text_key", "start", "n"])
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        least = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(least, least[-1])) if len(least) else 0
-        if cut == 0 and held and len(least) and held[-1].column(0)[0].as_py() == least[0]:
-            held.append(batch)
-            continue
-        yield from settle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-        held = [batch.slice(cut)]
-    if held:
-        yield from settle(pa.Table.from_batches(held))
+    for table in whole_runs(batches, 1):
+        yield from settle(table)
 
 
 def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, depth: int = 3, bits: int = 25) -> DataFrame:
@@ -176,6 +168,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, depth: in
     shared = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), _minimizers(window, gram), depth, bits, 2, flags=True))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         sketch = shared.value
         for batch in batches:
             ids = batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
@@ -256,3 +249,17 @@ def dedup_substrings(docs: DataFrame, window: int = 20, **sketch: int) -> DataFr
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_substrings(docs, window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP7_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS k, w FROM words WHERE len(w) >= 20),
+hashed AS (SELECT doc_id, k, array_to_string(w[k : k + 19], ' ') AS g FROM windows),
+later AS (SELECT doc_id, k FROM hashed QUALIFY (doc_id, k) > min((doc_id, k)) OVER (PARTITION BY g)),
+gone AS (SELECT DISTINCT doc_id, k + d AS k FROM later, range(0, 20) AS t(d)),
+each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM words),
+kept AS (
+  SELECT e.doc_id, count(g.k) AS n_removed, coalesce(string_agg(e.word, ' ' ORDER BY e.k) FILTER (g.k IS NULL), '') AS text
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.k = g.k GROUP BY e.doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
