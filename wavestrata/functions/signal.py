@@ -96,3 +96,15 @@ def separated(left: np.ndarray, right: np.ndarray, labels: np.ndarray, cluster:
     """The left channel's part whose frames belong to the cluster, by a binary mask on its spectra."""
     spectra = stft(left, size, hop)
     return istft(spectra * (labels[: spectra.shape[1]] == cluster), len(left), size, hop)
+
+
+def resampled(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """(samples, channels) at another rate, band-limited, by cutting or padding the spectrum."""
+    n = round(len(samples) * to / rate)
+    if not len(samples) or not n:
+        return np.zeros((n, *samples.shape[1:]))
+    spectrum = np.fft.rfft(samples, axis=0)
+    out = np.zeros((n // 2 + 1, *samples.shape[1:]), complex)
+    k = min(len(spectrum), len(out))
+    out[:k] = spectrum[:k]
+    return np.fft.irfft(out, n, axis=0) * n / len(samples)

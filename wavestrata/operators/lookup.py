@@ -70,3 +70,11 @@ def chunks_covering(requests: DataFrame, chunks: DataFrame, key: str = "rec_id")
     """Chunks that hold a byte of [byte_from, byte_to) of each request; the bounds prune row groups of sorted tables."""
     wanted = (F.col("byte_end") > F.col("byte_from")) & (F.col("byte_start") < F.col("byte_to"))
     return requests.join(chunks, key).where(wanted)
+
+
+def random_requests(recordings: DataFrame, per_recording: int, samples: int, seed: int = 12345) -> DataFrame:
+    """Requests for ranges of so many samples at places drawn by a hash of recording, number and seed."""
+    each = recordings.where(F.col("n_samples") > 0).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_recording - 1))))
+    free = F.greatest(F.col("n_samples") - samples, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64("rec_id", "k", F.lit(seed)), free)
+    return each.select((F.col("rec_id") * per_recording + F.col("k")).alias("request_id"), "rec_id", start.alias("start_sample"), F.least(start + samples, F.col("n_samples")).alias("end_exclusive")).select("request_id", "rec_id", "start_sample", (F.col("end_exclusive") - 1).alias("end_sample"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavestrata.functions import rules, signal, values
+from wavestrata.functions import metadata, rules, signal, values
 from wavestrata.operators import catalog, index, lookup
 
 QUERIES: dict = {}
@@ -447,3 +447,45 @@ def sequence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts"))
     rows = table(spark, sf_dir, "events").withColumn("before", before)
     return rows.groupBy("user_id").agg(F.count("*").alias("frames"), F.count_if(F.col("value") > F.col("before")).alias("louder"))
+
+
+def _probe_report() -> F.Column:
+    """A probe report with an audio stream whose index comes last, a picture and an audio stream without index."""
+    d = F.col("doc_id")
+    stream = lambda i, kind, codec, rate, channels: F.struct(i.alias("index"), F.lit(kind).alias("codec_type"), F.lit(codec).alias("codec_name"), rate.alias("sample_rate"), channels.alias("channels"), F.lit("kept").alias("extra"))
+    none = F.lit(None).cast("string")
+    streams = F.array(stream(none, "audio", "mp3", F.lit("N/A"), none), stream((d % 7 + 2).cast("string"), "audio", "flac", (d * 10).cast("string"), (d % 4).cast("string")), stream(F.lit("1"), "video", "png", none, none))
+    form = F.struct(F.col("source").alias("format_name"), (d / 2).cast("string").alias("duration"), F.col("n_chars").cast("string").alias("size"), F.lit("odd").alias("bit_rate"), F.lit("me").alias("maker"))
+    return F.to_json(F.struct(form.alias("format"), streams.alias("streams"), F.array(d).alias("chapters")))
+
+
+@query("""SELECT doc_id, source AS format_name, doc_id / 2 AS duration, n_chars AS size, NULL::BIGINT AS bit_rate, 2 AS n_audio, 1 AS n_other, (doc_id % 4)::INT AS channels,
+  (doc_id % 7 + 2)::INT AS first_index, 'flac' AS first_codec, (doc_id * 10)::INT AS first_rate, 'me' AS maker, 'kept' AS extra FROM documents""")
+def stream_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").withColumn("report", _probe_report())
+    r = F.col("report")
+    rows = rows.withColumns({"c": metadata.container_info(r), "a": metadata.audio_streams(r), "o": metadata.other_streams(r), "rest": metadata.rest(r)})
+    first = F.col("a")[0]
+    return rows.select(
+        "doc_id", "c.format_name", "c.duration", "c.size", "c.bit_rate", F.size("a").alias("n_audio"), F.size("o").alias("n_other"), metadata.channel_total(F.col("a")).alias("channels"),
+        first["index"].alias("first_index"), first["codec_name"].alias("first_codec"), first["sample_rate"].alias("first_rate"),
+        F.variant_get("rest", "$.format.maker", "string").alias("maker"), F.variant_get("rest", "$.streams[0].extra", "string").alias("extra"),
+    )
+
+
+@query("""SELECT doc_id, len(list_distinct([doc_id % 2, doc_id % 3])) <= 1 AS compatible, doc_id % 5 IN (0, 1) AS valid FROM documents""")
+def stream_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    stream = lambda i, n: F.struct(F.lit(i).alias("index"), n.alias("nb_samples"), F.lit(48_000).alias("sample_rate"))
+    rows = table(spark, sf_dir, "documents").withColumn("streams", F.array(stream(0, d % 2), stream(1, d % 3)))
+    chosen = F.array((d % 5).cast("int"))
+    return rows.select("doc_id", rules.same_shape(F.col("streams")).alias("compatible"), rules.importable(F.col("streams"), chosen, F.lit(True)).alias("valid"))
+
+
+@query("""SELECT doc_id, 4096::BIGINT * (doc_id + 1) AS n_samples FROM documents""")
+def total_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("doc_id") + 1) * 4096
+    odd = F.col("doc_id") % 2 == 1
+    base = F.when(odd, F.lit("1/48000")).otherwise("1/1000")
+    found = values.total_samples(F.when(odd, n).otherwise(1), base, F.lit(48_000), F.when(odd, F.lit(0.0)).otherwise((n + 0.5) / 48_000), F.lit(None).cast("double"))
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("n_samples"))

@@ -60,3 +60,33 @@ def analysed(files: DataFrame, selected: Column | None = None, wanted_code: Colu
     can = rules.importable(F.col("streams"), F.lit(None).cast("array<int>") if selected is None else selected, decodable)
     blocked = F.size(F.coalesce("conflicts.blocking", F.array().cast("array<string>"))) > 0
     return rows.withColumn("can_be_imported", F.coalesce(can, F.lit(False)) & ~blocked)
+
+
+def diagnosed(files: DataFrame) -> DataFrame:
+    """(path, has_signature, metadata_blocks, syncs, frames, issues) of FLAC files."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf.path, pdf.content, strict=True):
+                data, issues, blocks, n = bytes(content), [], 0, 0
+                signed = data[:4] == b"fLaC"
+                syncs = sum(data.count(bytes([0xFF, b])) for b in (0xF8, 0xF9))
+                try:
+                    blocks, n = len(formats.flac_metadata(data)[0]), len(formats.flac_frames(data))
+                except (ValueError, StopIteration, IndexError) as e:
+                    issues.append(str(e) or type(e).__name__)
+                issues += [] if signed else ["no fLaC signature"]
+                issues += [] if n else ["no frame"]
+                rows.append((path, signed, blocks, syncs, n, issues))
+            yield pd.DataFrame(rows, columns=["path", "has_signature", "metadata_blocks", "syncs", "frames", "issues"])
+
+    return files.select("path", "content").mapInPandas(look, "path string, has_signature boolean, metadata_blocks int, syncs int, frames int, issues array<string>")
+
+
+def reports(analysed_files: DataFrame) -> DataFrame:
+    """(path, report): a text about each analysed file."""
+    from wavestrata.functions.metadata import report_text
+
+    c = F.col
+    return analysed_files.select("path", report_text(c("path"), c("container"), c("quality"), c("target"), c("conflicts"), c("can_be_imported")).alias("report"))
