@@ -26,7 +26,8 @@ def frame_range(requests: DataFrame, frames: DataFrame, ahead: int = 1, overlap:
 
     s is the frame that holds start (0 before all), e the one that holds end plus ahead, at most the
     last one; overlap moves s back. With frame, the samples of the last frame, start and end are
-    first cut to the recording.
+    first cut to the recording. frame_no counts from 0 in the order of sample_pos, so one sorted stream
+    of frames and requests per recording answers all of them; no request is paired with frames.
     """
     size = frames.groupBy("rec_id").agg(F.count("*").alias("__n"), F.max("sample_pos").alias("__last"))
     found = requests.join(size, "rec_id", "left")
@@ -34,8 +35,10 @@ def frame_range(requests: DataFrame, frames: DataFrame, ahead: int = 1, overlap:
     if frame is not None:
         a, b = F.greatest(a, F.lit(0)), F.least(b, F.col("__last") + frame - 1)
     found = found.withColumns({"__a": a, "__b": b})
-    starts = frames.select("rec_id", "sample_pos")
-    counted = found.join(starts, "rec_id", "left").groupBy(*found.columns).agg(F.count_if(F.col("sample_pos") <= F.col("__a")).alias("__to_a"), F.count_if(F.col("sample_pos") <= F.col("__b")).alias("__to_b"))
+    points = found.select("*", F.posexplode(F.array("__a", "__b")).alias("__which", "__at"))
+    held = latest_at(points, frames.select("rec_id", "sample_pos", "frame_no"), "rec_id", "__at", "sample_pos", "frame_no")
+    upto = lambda k: F.coalesce(F.max(F.when(F.col("__which") == k, F.col("frame_no") + 1)), F.lit(0))
+    counted = held.groupBy(*found.columns).agg(upto(0).alias("__to_a"), upto(1).alias("__to_b"))
     first = F.greatest(F.lit(0), F.col("__to_a") - 1)
     last = F.least(F.col("__to_b") + (ahead - 1), F.col("__n") - 1)
     ok = F.col("__n").isNotNull() & (first <= last)
@@ -44,7 +47,7 @@ def frame_range(requests: DataFrame, frames: DataFrame, ahead: int = 1, overlap:
 
 
 def latest_at(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
-    """left with the right value of the greatest since <= at, null if there is none.
+    """left with the right value of the greatest since <= at, null if there is none; the greatest value of equal ones.
 
     Both sides are sorted once, in one stream per key; nothing is paired.
     """
@@ -53,9 +56,9 @@ def latest_at(left: DataFrame, right: DataFrame, key: str, at: str, since: str,
     a = left.select("*", F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(False).alias("__has"))
     b = right.select(F.col(key), F.col(since).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"), F.lit(True).alias("__has"))
     both = a.unionByName(b, allowMissingColumns=True)
-    before = Window.partitionBy(key).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("__has"), F.struct(F.col("__v").alias("v"))), ignorenulls=True).over(before)
-    return both.withColumn("__last", last).where("__side = 1").select(*left.columns, F.col("__last.v").alias(value))
+    return both.withColumn("__found", last).where("__side = 1").select(*left.columns, F.col("__found.v").alias(value))
 
 
 def trimmed(samples: Column, frame_start: Column, start: Column, end: Column) -> Column:
