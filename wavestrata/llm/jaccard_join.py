@@ -2,19 +2,21 @@
 
 Equal sets are one class, known by a 64-bit digest of the set. Between classes:
 
-1. A count-min sketch of fixed size, merged from the partitions, orders the n-grams of each set, rare ones first
-   (any order common to all sets is right). Two sets with the similarity share an n-gram of
-   their prefixes, the first n - ceil(n * num / den) + 1.
-2. Prefix n-grams meet by hash; those of one class only go. Length and position of the shared n-gram bound the
-   overlap, and so does a suffix filter: the counts of the n-grams in 64 fixed hash ranges bound the number
-   that two sets do not share.
+1. All n-grams get one order, rare ones first: the quarter of them whose hash is divisible by four, by the
+   number of sets that hold them, counted exactly in one exchange; then the others, by hash; last those that
+   a count-min sketch of fixed size estimates frequent. Any common order is right; this one fills nearly all
+   prefixes with n-grams of one class only, and these are not looked at any further.
+2. Two sets with the similarity share an n-gram of their prefixes, the first n - ceil(n * num / den) + 1.
+   Length and position of the shared n-gram bound the overlap, and so does a suffix filter: the counts of
+   the n-grams in 64 fixed hash ranges bound the number that two sets do not share.
 3. Each shared n-gram first proposes the pairs with its most central class only, one per member. They are
    verified on the whole sets, and what is linked becomes a component.
-4. Where members of an n-gram are still outside the centre's component, each of them meets every member of another
-   component, in blocks, under the filters of 2; each new pair is verified once.
+4. The members of all n-grams whose centres are in one component are one group. A member outside that component
+   meets, in blocks of bounded size, the members of other components, under the length and suffix filters; of each
+   component it is verified against one member after the other, until one is linked. Two members meet once in a group.
 
 A group of near copies thus costs a few pairs per member, not all pairs, and no link that joins two
-components is lost. N-grams estimated frequent are dealt to several tasks.
+components is lost. Frequent n-grams are dealt to several tasks.
 
 Sets are compared by 64-bit n-gram hashes; a wrong link would need a collision of them (2**-64 a pair).
 
@@ -35,11 +37,11 @@ from pyspark.sql import functions as F
 from wavestrata.llm.components import components
 from wavestrata.llm.runs import run_starts, whole_runs
 from wavestrata.llm.sketch import estimates, flagged, merged_sketch
-from wavestrata.llm.store import partitions, written
-from wavestrata.llm.textkit import U64, as_long, mix, shingle_sets
+from wavestrata.llm.store import partitions, small_batches, written
+from wavestrata.llm.textkit import U64, as_long, mix, release_memory, shingle_sets
 
-DEPTH, BITS, MOST = 2, 21, 65535
-_ID_BITS, _RANGES, _PART, _PROBES = 24, 64, 256, 1024
+DEPTH, BITS, MOST = 2, 20, 65535
+_ID_BITS, _RANGES, _PART, _MEMBERS = 24, 64, 4096, 1024
 
 
 def _key(grams: np.ndarray) -> int:
@@ -60,47 +62,88 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _described(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, key, n, central, parts, tokens): tokens, the prefix, only for the first of a class in a batch."""
+def _kept(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Headers of all documents, and the n-grams that several classes may share.
+
+    (token, part, key, kind, a, b, count, low, high). Kind 0 is a document: a is doc_id, b is the size of the set << 32 | how many of
+    its n-grams are counted. Kind 1 is a counted n-gram of a class. Kind 2 is another n-gram of a prefix, for sets with
+    fewer counted ones than their prefix needs: a is its place, b the number of parts that a frequent one is dealt to.
+    A class comes once in a batch.
+    """
     spark = docs.sparkSession
 
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
         return np.concatenate([*shingle_sets(batch.column(0), n), np.zeros(0, U64)])
 
-    shared = spark.sparkContext.broadcast(merged_sketch(docs.select("text"), hashes, DEPTH, BITS, MOST))
+    sketch = merged_sketch(docs.select("text"), hashes, DEPTH, BITS, MOST)
+    often = int(min(MOST - 1, max(_PART, 4 * sketch[: 1 << BITS].mean())))
+    shared = spark.sparkContext.broadcast(sketch)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
+        release_memory()
         for batch in batches:
-            keys, sizes, central, parts, tokens, seen = [], [], [], [], [], set()
-            for grams in shingle_sets(batch.column(1), n):
+            ids, seen, size = batch.column(0).to_pylist(), set(), 0
+            parts: list[tuple] = []
+            for row, grams in enumerate(shingle_sets(batch.column(1), n)):
                 key = _key(grams) if len(grams) else None
-                keys.append(key)
-                sizes.append(len(grams))
                 if key is None or key in seen:
-                    central.append(None)
-                    parts.append(None)
-                    tokens.append(None)
+                    parts.append((np.array([hash((row, key))]), [0], key, 0, [ids[row]], [len(grams) << 32]))
                     continue
                 seen.add(key)
-                count = estimates(sketch, grams, DEPTH, BITS)
-                order = np.argsort(count, kind="stable")[: prefix_length(len(grams), num, den)]
-                central.append(int(1024 * np.log2(count.astype(np.float64)).mean()))
-                parts.append((count[order].astype(np.int32) - 1) // _PART + 1)
-                tokens.append(as_long(grams[order]))
-            columns = [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(central, pa.int32()), pa.array(parts, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "central", "parts", "tokens"])
-
-    return docs.mapInArrow(describe, "doc_id long, key long, n long, central int, parts array<int>, tokens array<long>")
-
-
-def _live(described: DataFrame) -> DataFrame:
-    """(token, part, parts, key, n, central, place) of prefix n-grams that may be in another class too."""
-    each = described.where("tokens IS NOT NULL").select("key", "n", "central", F.posexplode(F.arrays_zip("tokens", "parts")).alias("place", "t"))
-    each = each.select(F.col("t.tokens").alias("token"), F.when(F.col("t.parts") > 1, F.pmod(F.xxhash64("key"), F.col("t.parts"))).otherwise(0).cast("int").alias("part"), F.col("t.parts").alias("parts"), "key", "n", "central", "place")
-    own = Window.partitionBy("token", "part")
-    found = each.withColumns({"low": F.min("key").over(own), "high": F.max("key").over(own)}).where("low < high OR parts > 1")
-    return found.drop("low", "high").dropDuplicates(["token", "part", "key"])
+                count = estimates(shared.value, grams, DEPTH, BITS)
+                rare = count <= often
+                first = (grams & U64(3)) == 0
+                counted = grams[rare & first]
+                parts.append((np.array([hash((row, key))]), [0], key, 0, [ids[row]], [len(grams) << 32 | len(counted)]))
+                parts.append((as_long(counted), None, key, 1, None, None))
+                more = prefix_length(len(grams), num, den) - len(counted)
+                if more > 0:
+                    order = np.lexsort((grams, np.where(rare, 0, count)))
+                    rest = order[~(rare & first)[order]][:more]
+                    blocks = np.where(rare[rest], 1, (count[rest].astype(np.int64) - 1) // _PART + 1)
+                    parts.append((as_long(grams[rest]), (np.int64(key) & 0x7FFFFFFF) % blocks, key, 2, np.arange(len(rest)) + len(counted), blocks))
+                size += len(counted)
+                if size > 200_000:
+                    yield _batch(parts)
+                    parts, size = [], 0
+            if parts:
+                yield _batch(parts)
+
+    rows = docs.mapInArrow(describe, "token long, part int, key long, kind int, a long, b long")
+    own = Window.partitionBy("token", "part", "kind")
+    met = rows.withColumns({"count": F.count("*").over(own), "low": F.min("key").over(own), "high": F.max("key").over(own)})
+    return met.where("kind = 0 OR low < high OR b > 1")
+
+
+def _batch(parts: list[tuple]) -> pa.RecordBatch:
+    """One batch of (tokens, parts, key, kind, a, b) groups; a header's key and doc_id may be null."""
+    sizes = [len(p[0]) for p in parts]
+    flat = lambda k: np.concatenate([np.zeros(n, np.int64) if p[k] is None or p[3] == 0 else np.asarray(p[k], np.int64) for p, n in zip(parts, sizes, strict=True)])
+    kind = np.repeat([p[3] for p in parts], sizes)
+    keys = pa.array([p[2] for p in parts], pa.int64()).take(pa.array(np.repeat(np.arange(len(parts)), sizes)))
+    head = np.flatnonzero(kind == 0)
+    headers = [p for p in parts if p[3] == 0]
+    a, b = flat(4), flat(5)
+    b[head] = [p[5][0] for p in headers]
+    known = np.ones(len(kind), bool)
+    known[head] = [p[4][0] is not None for p in headers]
+    a[head] = [p[4][0] or 0 for p in headers]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0] for p in parts])), pa.array(flat(1), pa.int32()), keys, pa.array(kind, pa.int32()), pa.array(a, mask=~known), pa.array(b)], ["token", "part", "key", "kind", "a", "b"])
+
+
+def _live(kept: DataFrame, described: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, part, parts, key, n, central, place) of the prefix n-grams that several classes may share."""
+    grams = kept.where("kind > 0").dropDuplicates(["token", "part", "key"])
+    own = F.array_sort(F.collect_list(F.struct("kind", F.when(F.col("kind") == 1, F.col("count")).otherwise(0).alias("count"), "token", "part", "a", "b")))
+    sizes = described.where("key IS NOT NULL").groupBy("key").agg(F.max("n").alias("n"), F.max("counted").alias("counted"))
+    each = grams.groupBy("key").agg(own.alias("own")).join(sizes, "key")
+    met = F.size(F.filter("own", lambda x: x.kind == 1))
+    each = each.withColumns({"met": met, "central": (F.lit(1e6) * met / F.greatest("counted", F.lit(1))).cast("int")})
+    each = each.select("key", "n", "central", "counted", "met", F.posexplode("own").alias("at", "g"))
+    first = F.col("g.kind") == 1
+    place = F.when(first, F.col("counted") - F.col("met") + F.col("at")).otherwise(F.col("g.a"))
+    rows = each.select(F.col("g.token").alias("token"), F.col("g.part").alias("part"), F.when(first, 1).otherwise(F.col("g.b")).cast("int").alias("parts"), "key", "n", "central", place.cast("int").alias("place"))
+    return rows.where(F.col("place") < F.col("n") - F.ceil(F.col("n") * num / den) + 1)
 
 
 def _sets(docs: DataFrame, described: DataFrame, live: DataFrame, n: int) -> DataFrame:
@@ -113,11 +156,15 @@ def _sets(docs: DataFrame, described: DataFrame, live: DataFrame, n: int) -> Dat
     flags = docs.sparkSession.sparkContext.broadcast(merged_sketch(wanted.select("doc_id"), lambda batch: hashed(batch.column(0)), 1, _ID_BITS, 1, flags=True))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             rows = np.flatnonzero(flagged(flags.value, hashed(batch.column(0)), 1, _ID_BITS))
-            found = {_key(g): g for g in shingle_sets(batch.column(1).take(pa.array(rows)), n) if len(g)}
-            columns = [pa.array(found, pa.int64()), pa.array([_ranges(g).tobytes() for g in found.values()], pa.binary()), pa.array([g.tobytes() for g in found.values()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "ranges", "grams"])
+            yield from (sets_of(batch, rows[s : s + 500]) for s in range(0, len(rows), 500))
+
+    def sets_of(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
+        found = {_key(g): g for g in shingle_sets(batch.column(1).take(pa.array(rows)), n) if len(g)}
+        columns = [pa.array(found, pa.int64()), pa.array([_ranges(g).tobytes() for g in found.values()], pa.binary()), pa.array([g.tobytes() for g in found.values()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["key", "ranges", "grams"])
 
     return docs.mapInArrow(collect, "key long, ranges binary, grams binary").dropDuplicates(["key"])
 
@@ -126,14 +173,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     """The pairs (a, b) whose sets have the similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                least = least_overlap(len(x), len(y), num, den)
-                apart = np.abs(_ranges(x).astype(np.int64) - _ranges(y)).sum()
-                if apart <= len(x) + len(y) - 2 * least and len(np.intersect1d(x, y, assume_unique=True)) >= least:
-                    keep.append(k)
+            for s in range(0, batch.num_rows, 256):
+                few = batch.slice(s, 256)
+                for k, (x, y) in enumerate(zip(few.column(2).to_pylist(), few.column(3).to_pylist(), strict=True), s):
+                    x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                    least = least_overlap(len(x), len(y), num, den)
+                    apart = np.abs(_ranges(x).astype(np.int64) - _ranges(y)).sum()
+                    if apart <= len(x) + len(y) - 2 * least and len(np.intersect1d(x, y, assume_unique=True)) >= least:
+                        keep.append(k)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
@@ -150,40 +200,42 @@ def _close(n1: F.Column, i1: F.Column, n2: F.Column, i2: F.Column, num: int, den
 
 
 def _probed(num: int, den: int):
-    """Pairs of an outside member and a member of another component, for sorted (token, part, block) runs."""
+    """A link of each outside member to each component that it links to, for sorted (group, part, block) runs."""
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for table in whole_runs(batches, 3):
-            column = {c: table[c].to_numpy() for c in ("token", "part", "block", "key", "n", "place", "component", "probe")}
+            group, part, block, key, component, probe = (table[c].to_numpy() for c in ("group", "part", "block", "key", "component", "probe"))
             ranges = np.frombuffer(b"".join(table["ranges"].to_pylist()), np.uint8).reshape(-1, _RANGES).astype(np.int16)
-            starts = run_starts([column[c] for c in ("token", "part", "block")])
-            key, n, place, component, probe = (column[c] for c in ("key", "n", "place", "component", "probe"))
-            out_a, out_b = [], []
+            sets = [np.frombuffer(x, U64) for x in table["grams"].to_pylist()]
+            n = np.array([len(x) for x in sets])
+            starts = run_starts([group, part, block])
+            out = []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                asks, has = np.flatnonzero(probe[s:e]) + s, np.flatnonzero(~probe[s:e]) + s
-                if not len(asks) or not len(has):
-                    continue
-                for p in asks.tolist():
+                has = np.flatnonzero(~probe[s:e]) + s
+                for p in (np.flatnonzero(probe[s:e]) + s).tolist():
                     least = least_overlap(n[p], n[has], num, den)
-                    ok = (component[has] != component[p]) & (n[has] * den >= n[p] * num) & (n[p] * den >= n[has] * num)
-                    ok &= 1 + np.minimum(n[p] - place[p] - 1, n[has] - place[has] - 1) >= least
-                    near = has[ok]
-                    near = near[np.abs(ranges[near] - ranges[p]).sum(1) <= n[p] + n[near] - 2 * least[ok]]
-                    if len(near):
-                        out_a.append(np.minimum(key[near], key[p]))
-                        out_b.append(np.maximum(key[near], key[p]))
-            if out_a:
-                found = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+                    near = (component[has] != component[p]) & (n[has] * den >= n[p] * num) & (n[p] * den >= n[has] * num)
+                    near &= (component[has] == group[s]) | (key[p] < key[has])  # two outside members meet once
+                    near[near] = np.abs(ranges[has[near]] - ranges[p]).sum(1) <= n[p] + n[has[near]] - 2 * least[near]
+                    linked = set()
+                    for m, overlap in zip(has[near].tolist(), least[near].tolist(), strict=True):
+                        if component[m] not in linked and len(np.intersect1d(sets[p], sets[m], assume_unique=True)) >= overlap:
+                            linked.add(component[m])
+                            out.append((key[p], key[m]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    return pairs
+    return links
 
 
 def class_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n) of every document, and (node, component) of the classes linked to another class."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    described = written(_described(docs, n, num, den), "described")
-    live = written(_live(described), "live")
+    kept = written(_kept(docs, n, num, den), "kept")
+    described = kept.where("kind = 0").select(F.col("a").alias("doc_id"), "key", F.shiftright("b", 32).alias("n"), F.col("b").bitwiseAND(0xFFFFFFFF).alias("counted"))
+    live = written(_live(kept, described, num, den), "live")
     sets = written(_sets(docs, described, live, n), "sets")
 
     centre = live.groupBy("token", "parts").agg(F.max(F.struct("central", "key", "n", "place")).alias("c"))
@@ -195,20 +247,21 @@ def class_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     first = components(_verified(pairs, sets, num, den))
 
     joined = first.select(F.col("node").alias("key"), "component")
-    placed = starred.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = starred.select("key", "n", "c_key").distinct().join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
     centred = joined.select(F.col("key").alias("c_key"), F.col("component").alias("c_component"))
-    placed = placed.join(centred.hint("merge"), "c_key", "left").withColumn("outside", F.col("component") != F.coalesce("c_component", "c_key"))
-    placed = written(placed.select("token", "part", "parts", "key", "n", "place", "component", "outside"), "placed")
-    open_ = placed.where("outside").groupBy("token", "parts").agg(F.count("*").alias("asking"))
-    open_ = open_.select("token", every.alias("part"), F.ceil(F.col("asking") / _PROBES).cast("int").alias("blocks"))
-    known = placed.join(open_, ["token", "part"]).join(sets.select("key", "ranges"), "key")
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    fields = ["key", "n", "place", "component", "ranges"]
-    members = known.select("token", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *fields, F.lit(False).alias("probe"))
-    probes = known.where("outside").select("token", every.alias("part"), block.alias("block"), *fields, F.lit(True).alias("probe"))
-    dealt = members.unionByName(probes).repartition(partitions(docs.sparkSession), "token", "part", "block").sortWithinPartitions("token", "part", "block")
-    more = dealt.mapInArrow(_probed(num, den), "a long, b long").distinct()
-    second = _verified(more, sets, num, den)
+    placed = placed.join(centred.hint("merge"), "c_key", "left").select("key", "component", F.coalesce("c_component", "c_key").alias("group")).distinct()
+    placed = written(placed, "placed")
+    outside = F.col("component") != F.col("group")
+    open_ = placed.groupBy("group").agg(F.count("*").alias("members"), F.count_if(outside).alias("asking")).where("asking > 0")
+    open_ = open_.select("group", F.ceil(F.col("members") / _MEMBERS).cast("int").alias("parts"), F.ceil(F.col("asking") / _MEMBERS).cast("int").alias("blocks"))
+    known = placed.join(open_, "group").join(sets, "key").withColumn("probe", outside)
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    fields = ["key", "component", "ranges", "grams"]
+    members = known.select("group", own("parts").alias("part"), all_("blocks").alias("block"), *fields, F.lit(False).alias("probe"))
+    probes = known.where("probe").select("group", all_("parts").alias("part"), own("blocks").alias("block"), *fields, "probe")
+    dealt = members.unionByName(probes).repartition(partitions(docs.sparkSession), "group", "part", "block").sortWithinPartitions("group", "part", "block")
+    second = dealt.mapInArrow(_probed(num, den), "a long, b long")
     old = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return described.select("doc_id", "key", "n"), components(old.unionByName(second))
 
@@ -241,3 +294,19 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN edges b ON r.y = b.x)
+SELECT s.doc_id, len(s.s) AS n_shingles, r.c AS component_id FROM sets s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON s.doc_id = r.x
+"""

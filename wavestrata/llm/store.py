@@ -18,6 +18,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables that written() has made here; results that still read them must be stored before."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        place = hadoop(_written.pop())
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lower the session's limit for Arrow batches to so many bytes, if it is higher.
+
+    The limit bounds what JVM and Python hold of long texts at once; at the usual 64 MB a task holds several times that.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "")
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+        spark.conf.set(key, str(most))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and read back from a Parquet table in the shared folder.
 
@@ -25,6 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
