@@ -35,8 +35,8 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     The limit bounds what JVM and Python hold of long texts at once; at the usual 64 MB a task holds several times that.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "")
-    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
         spark.conf.set(key, str(most))
 
 
