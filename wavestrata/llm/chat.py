@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavestrata.llm.store import small_batches
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 _CONTROL = r"(?:(?<=<)%s(?=\|turn\|>|\|text\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?<SYS>>|</SYS>>)|(?<=\[)%s(?=/?INST\]))"
 _ESCAPE = re.compile(_CONTROL % (r"\\*", r"\\*"))
@@ -58,6 +60,7 @@ def read_back(formatted: str, mask: list[tuple[int, int]]) -> tuple[list[tuple[s
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """(conv_id, example, formatted, mask): one row an example, numbered from 0 in each conversation."""
+    small_batches(conversations.sparkSession)
     turn = F.struct(F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 

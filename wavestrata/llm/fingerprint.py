@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavestrata.llm.store import partitions, written
+from wavestrata.llm.store import partitions, small_batches, written
 from wavestrata.llm.textkit import row_groups, text_buffers
 
 BUCKETS = 256
@@ -119,6 +119,7 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     meet in a second, small step.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     sorted_texts = texts.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)

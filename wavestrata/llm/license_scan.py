@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavestrata.llm.store import small_batches
 from wavestrata.llm.textkit import U64, hash_words, mix, ngram_hashes, row_groups, text_buffers, word_spans
 
 SHINGLE, THRESHOLD, ROWS, MISS = 5, 0.8, 1, 1e-5
@@ -39,7 +40,7 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "rights-reserved": "Copyright. All rights reserved.",
+    "rights-reserved": "All rights reserved.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -177,6 +178,7 @@ def scan(column: pa.Array, groups: list[Group], threshold: float) -> Iterator[tu
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, template, containment, window_start, window_words): words are counted without those that have no letter or digit."""
+    small_batches(docs.sparkSession)
     groups = template_groups(templates, threshold)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavestrata.llm.store import partitions, written
+from wavestrata.llm.store import partitions, small_batches, written
 from wavestrata.llm.textkit import hash_words, ngram_hashes, release_memory, row_groups, text_buffers, word_spans
 
 RANDOM, SEED, RIDGE, BINS, BLOCK = 256, 11, 1e-3, 2000, 32
@@ -54,7 +54,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     """One row of FEATURES for each text."""
     data, offsets = text_buffers(column)
     out = np.zeros((len(offsets) - 1, len(FEATURES)), np.float32)
-    for a, b in row_groups(offsets, 2 << 20):
+    for a, b in row_groups(offsets, 1 << 20):
         out[a:b] = _statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
     return out
 
@@ -227,6 +227,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels has doc_id and quality. Rows that held_out marks are not learned from.
     """
     added = [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    small_batches(docs.sparkSession)
     docs = docs.drop(*(f.name for f in added))
     model = learn(docs, labels)
     names = docs.columns
