@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from wavestrata.llm.store import written
 
-SALTS = 16
-
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, least node of its component) that connect what the links a-b connect."""
@@ -41,9 +39,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_least(links: DataFrame, node: str, least: DataFrame) -> DataFrame:
-    """links with the column least of their node; the node's rows are dealt out by salt."""
-    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return links.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS))).join(salted.withColumnRenamed("node", node), [node, "salt"]).drop("salt")
+    """links with the column least of their node.
+
+    least is a table of its own with one row a node: Spark sends it to all tasks if its size allows that, and
+    otherwise can split the rows of a node with very many links.
+    """
+    return links.join(written(least, "least").withColumnRenamed("node", node), node)
 
 
 def _state(links: DataFrame) -> tuple:
@@ -54,8 +55,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link, component being its least node.
 
     links has columns a and b. Each round computes the least neighbour of each node with map-side
-    aggregation and writes the new links to the shared folder; nodes with very many links are
-    spread by salt. The number of rounds grows with the logarithm of the longest path.
+    aggregation and writes the new links to the shared folder. The number of rounds grows with the logarithm of the longest path.
     """
     links = links.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long")
     links = written(links.distinct(), "links")

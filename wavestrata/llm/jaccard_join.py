@@ -153,12 +153,12 @@ def _sets(docs: DataFrame, described: DataFrame, live: DataFrame, n: int) -> Dat
     def hashed(ids: pa.Array) -> np.ndarray:
         return mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
 
-    flags = docs.sparkSession.sparkContext.broadcast(merged_sketch(wanted.select("doc_id"), lambda batch: hashed(batch.column(0)), 1, _ID_BITS, 1, flags=True))
+    flags = docs.sparkSession.sparkContext.broadcast(merged_sketch(wanted.select("doc_id"), lambda batch: hashed(batch.column(0)), 1, _ID_BITS, 1, flags=(1,)))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         for batch in batches:
-            rows = np.flatnonzero(flagged(flags.value, hashed(batch.column(0)), 1, _ID_BITS))
+            rows = np.flatnonzero(flagged(flags.value[0], hashed(batch.column(0)), 1, _ID_BITS))
             yield from (sets_of(batch, rows[s : s + 500]) for s in range(0, len(rows), 500))
 
     def sets_of(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
@@ -254,6 +254,7 @@ def class_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     outside = F.col("component") != F.col("group")
     open_ = placed.groupBy("group").agg(F.count("*").alias("members"), F.count_if(outside).alias("asking")).where("asking > 0")
     open_ = open_.select("group", F.ceil(F.col("members") / _MEMBERS).cast("int").alias("parts"), F.ceil(F.col("asking") / _MEMBERS).cast("int").alias("blocks"))
+    open_ = written(open_, "open")  # a side of its own exchange, so that a group with many members can be split
     known = placed.join(open_, "group").join(sets, "key").withColumn("probe", outside)
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -20,12 +20,13 @@ def cells(h: np.ndarray, depth: int, bits: int) -> np.ndarray:
     return np.stack([(mix(h ^ U64(_SALT[d])) >> U64(64 - bits)).astype(np.int64) + (d << bits) for d in range(depth)])
 
 
-def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], depth: int, bits: int, most: int, flags: bool = False) -> np.ndarray:
+def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], depth: int, bits: int, most: int, flags: tuple[int, ...] = ()) -> np.ndarray:
     """Counts of all hashes that the function finds in df's batches; counts over most stay at most.
 
     Each partition counts for itself and sends each block of cells once, as a list of the
     non-zero ones or whole, whichever is smaller. Blocks are summed on the executors. The driver gets
-    one or two bytes a cell, or with flags one bit that says whether the count is most, whatever the input.
+    one or two bytes a cell, or for each of flags one bit a cell that says whether the count reaches it, whatever the input;
+    the result then has a row for each of flags.
     """
     width = (depth << bits) // BLOCKS
 
@@ -60,14 +61,18 @@ def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
                     out[at] = np.minimum(out[at] + np.frombuffer(raw, kind, n, 4 * n), most)
                 else:
                     out = np.minimum(out + np.frombuffer(raw, kind), most)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(np.packbits(out == most, bitorder="little") if flags else out.astype(kind)).tobytes()], pa.binary())], ["block", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([b"".join(np.packbits(out >= f, bitorder="little").tobytes() for f in flags) if flags else out.astype(kind).tobytes()], pa.binary())], ["block", "cells"])
 
     parts = df.mapInArrow(partial, "block int, sparse boolean, cells binary")
     sums = parts.groupBy("block").applyInArrow(total, "block int, cells binary")
-    kind, width = (np.uint8, width // 8) if flags else (np.uint8 if most < 256 else np.uint16, width)
-    out = np.zeros(width * BLOCKS, kind)
+    if flags:
+        reached = np.zeros((len(flags), (depth << bits) // 8), np.uint8)
+        for row in sums.toLocalIterator():
+            reached[:, row.block * width // 8 : (row.block + 1) * width // 8] = np.frombuffer(row.cells, np.uint8).reshape(len(flags), -1)
+        return reached
+    out = np.zeros(depth << bits, np.uint8 if most < 256 else np.uint16)
     for row in sums.toLocalIterator():
-        out[row.block * width : (row.block + 1) * width] = np.frombuffer(row.cells, kind)
+        out[row.block * width : (row.block + 1) * width] = np.frombuffer(row.cells, out.dtype)
     return out
 
 

@@ -8,7 +8,8 @@
 2. A second pass looks at windows estimated repeated only. Each batch settles what repeats
    inside it; the first of each window goes to an exact grouping by minimizer (64 bits) and
    window hash (48 bits), windows of one minimizer in one row. So a passage in a third of all
-   documents sends a few rows per batch.
+   documents sends a few rows per batch. Windows of a minimizer that the sketch estimates frequent, as in
+   near copies of one text, are grouped by minimizer and window together, so they spread over all tasks.
 3. The marks meet the texts again by document, and the words they cover go.
 
 As the input outgrows the sketch, more unique windows reach step 2; results do not change.
@@ -36,6 +37,7 @@ from wavestrata.llm.store import partitions, small_batches, written
 from wavestrata.llm.textkit import U64, as_long, hash_words, mix, release_memory, row_groups, text_buffers, word_spans
 
 _LAST = np.iinfo(np.int64).max
+_OFTEN = 200  # places of a minimizer from which its windows are dealt out one by one
 _BYTES = 6  # of a window's hash, beside the 8 of its minimizer's
 
 
@@ -165,7 +167,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, depth: in
     """(doc_id, text_key, runs): where, in words, windows that also start earlier begin, as (start, n)."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), _minimizers(window, gram), depth, bits, 2, flags=True))
+    shared = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), _minimizers(window, gram), depth, bits, _OFTEN, flags=(2, _OFTEN)))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
@@ -177,8 +179,12 @@ def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, depth: in
             for a, b in row_groups(offsets, 4 << 20):
                 w = _Windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram, True)
                 if len(w.hash):
-                    keep = np.flatnonzero(flagged(sketch, w.least, depth, bits))
-                    found.append((w.hash[keep], w.row[keep] + a, w.start[keep], w.place[keep], w.least[keep]))
+                    keep = np.flatnonzero(flagged(sketch[0], w.least, depth, bits))
+                    h, place, least = w.hash[keep], w.place[keep], w.least[keep]
+                    often = flagged(sketch[1], least, depth, bits)
+                    place[often] = -1 - w.start[keep][often]  # a run of its own
+                    least = np.where(often, _joined(least, h), least)
+                    found.append((h, w.row[keep] + a, w.start[keep], place, least))
             if not found:
                 continue
             h, row, start, place, least = (np.concatenate(x) for x in zip(*found, strict=True))
