@@ -354,7 +354,7 @@ def float_to_int16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "channel", signal.to_int16(F.col("x").cast("double") * 3).alias("sample"))
 
 
-@query("SELECT vec_id, i - 1 AS channel, (trunc(embedding[i]::DOUBLE * 32767) / 32767.0::DOUBLE)::FLOAT::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65))::INT AS i)")
+@query("SELECT vec_id, i - 1 AS channel, (trunc(embedding[i]::DOUBLE * 32767)::SMALLINT / 32767.0::DOUBLE)::FLOAT::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65))::INT AS i)")
 def int16_to_float(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("channel", "x"))
     return rows.select("vec_id", "channel", signal.to_float32(signal.to_int16(F.col("x"))).cast("double").alias("x"))
