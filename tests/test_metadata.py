@@ -29,8 +29,8 @@ def test_report_parts(spark):
 
 
 def test_typed_json_must_fit(spark):
-    df = spark.createDataFrame([('{"a": 1}',), ('{"a": "x"}',)], "t string")
-    assert df.limit(1).select(metadata.typed(F.col("t"), "a int")).first()[0].a == 1
+    df = spark.createDataFrame([('{"a": "x"}',)], "t string")
+    assert spark.createDataFrame([('{"a": 1}',)], "t string").select(metadata.typed(F.col("t"), "a int")).first()[0].a == 1
     with pytest.raises(Exception):  # noqa: B017, PT011  the type depends on how the error travels
         df.select(metadata.typed(F.col("t"), "a int")).collect()
 
