@@ -38,7 +38,7 @@ from wavestrata.llm.components import components
 from wavestrata.llm.runs import run_starts, whole_runs
 from wavestrata.llm.sketch import estimates, flagged, merged_sketch
 from wavestrata.llm.store import partitions, small_batches, written
-from wavestrata.llm.textkit import U64, as_long, mix, release_memory, shingle_sets
+from wavestrata.llm.textkit import U64, as_long, mix, shingle_sets, tidy
 
 DEPTH, BITS, MOST = 2, 20, 65535
 _ID_BITS, _RANGES, _PART, _MEMBERS = 24, 64, 4096, 1024
@@ -80,7 +80,6 @@ def _kept(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(sketch)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for batch in batches:
             ids, seen, size = batch.column(0).to_pylist(), set(), 0
             parts: list[tuple] = []
@@ -109,7 +108,7 @@ def _kept(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             if parts:
                 yield _batch(parts)
 
-    rows = docs.mapInArrow(describe, "token long, part int, key long, kind int, a long, b long")
+    rows = docs.mapInArrow(tidy(describe), "token long, part int, key long, kind int, a long, b long")
     own = Window.partitionBy("token", "part", "kind")
     met = rows.withColumns({"count": F.count("*").over(own), "low": F.min("key").over(own), "high": F.max("key").over(own)})
     return met.where("kind = 0 OR low < high OR b > 1")
@@ -156,7 +155,6 @@ def _sets(docs: DataFrame, described: DataFrame, live: DataFrame, n: int) -> Dat
     flags = docs.sparkSession.sparkContext.broadcast(merged_sketch(wanted.select("doc_id"), lambda batch: hashed(batch.column(0)), 1, _ID_BITS, 1, flags=(1,)))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for batch in batches:
             rows = np.flatnonzero(flagged(flags.value[0], hashed(batch.column(0)), 1, _ID_BITS))
             yield from (sets_of(batch, rows[s : s + 500]) for s in range(0, len(rows), 500))
@@ -166,14 +164,13 @@ def _sets(docs: DataFrame, described: DataFrame, live: DataFrame, n: int) -> Dat
         columns = [pa.array(found, pa.int64()), pa.array([_ranges(g).tobytes() for g in found.values()], pa.binary()), pa.array([g.tobytes() for g in found.values()], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["key", "ranges", "grams"])
 
-    return docs.mapInArrow(collect, "key long, ranges binary, grams binary").dropDuplicates(["key"])
+    return docs.mapInArrow(tidy(collect), "key long, ranges binary, grams binary").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for batch in batches:
             keep = []
             for s in range(0, batch.num_rows, 256):
@@ -190,7 +187,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     left = sets.select(F.col("key").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(tidy(check), "a long, b long")
 
 
 def _close(n1: F.Column, i1: F.Column, n2: F.Column, i2: F.Column, num: int, den: int) -> F.Column:
@@ -203,7 +200,6 @@ def _probed(num: int, den: int):
     """A link of each outside member to each component that it links to, for sorted (group, part, block) runs."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for table in whole_runs(batches, 3):
             group, part, block, key, component, probe = (table[c].to_numpy() for c in ("group", "part", "block", "key", "component", "probe"))
             ranges = np.frombuffer(b"".join(table["ranges"].to_pylist()), np.uint8).reshape(-1, _RANGES).astype(np.int16)
@@ -262,7 +258,7 @@ def class_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     members = known.select("group", own("parts").alias("part"), all_("blocks").alias("block"), *fields, F.lit(False).alias("probe"))
     probes = known.where("probe").select("group", all_("parts").alias("part"), own("blocks").alias("block"), *fields, "probe")
     dealt = members.unionByName(probes).repartition(partitions(docs.sparkSession), "group", "part", "block").sortWithinPartitions("group", "part", "block")
-    second = dealt.mapInArrow(_probed(num, den), "a long, b long")
+    second = dealt.mapInArrow(tidy(_probed(num, den)), "a long, b long")
     old = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return described.select("doc_id", "key", "n"), components(old.unionByName(second))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavestrata.llm.store import partitions, small_batches, written
-from wavestrata.llm.textkit import release_memory, row_groups, text_buffers
+from wavestrata.llm.textkit import row_groups, text_buffers, tidy
 from wavestrata.llm.tokens import WordTokenizer
 
 CAPACITY = 2048
@@ -34,7 +34,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """(doc_id, piece, start, length, ids_crc32) of every text; with keep_ids also the ids."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         words = WordTokenizer.of_worker(tokenizer)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
@@ -57,7 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(pieces), schema)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[tuple[int, int]]:

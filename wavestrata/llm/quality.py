@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavestrata.llm.store import partitions, small_batches, written
-from wavestrata.llm.textkit import hash_words, ngram_hashes, release_memory, row_groups, text_buffers, word_spans
+from wavestrata.llm.textkit import hash_words, ngram_hashes, row_groups, text_buffers, tidy, word_spans
 
 RANDOM, SEED, RIDGE, BINS, BLOCK = 256, 11, 1e-3, 2000, 32
 LOW, HIGH = -0.5, 1.5
@@ -234,12 +234,11 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     place = names.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         for batch in batches:
             score = model.score(statistics(batch.column(place)).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "held_out", "score", "predicted"])
 
-    return docs.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(judge, T.StructType([*docs.schema.fields, *added]))
+    return docs.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(tidy(judge), T.StructType([*docs.schema.fields, *added]))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -249,7 +248,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             bounds = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.ravel()))], ["doc_id", "x"])
 
-    features = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, "doc_id long, x array<float>"), "statistics")
+    features = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(describe), "doc_id long, x array<float>"), "statistics")
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.avg("quality").alias("y"))
     known = known.where(~held_out(F.col("id"))).select("id", F.when(F.col("y") >= 0.5, 1.0).otherwise(0.0).alias("y"))
     labelled = features.join(known, F.col("doc_id") == F.col("id")).select("x", "y", F.when(F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 0, 0).otherwise(1).cast("long").alias("fold"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavestrata.llm.textkit import U64, mix, release_memory
+from wavestrata.llm.textkit import U64, mix, tidy
 
 BLOCKS = 64
 _SALT = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
@@ -31,7 +31,6 @@ def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
     width = (depth << bits) // BLOCKS
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         count = np.zeros(depth << bits, np.uint8 if most < 256 else np.uint16)
         seen = False
         for batch in batches:
@@ -63,7 +62,7 @@ def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
                     out = np.minimum(out + np.frombuffer(raw, kind), most)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([b"".join(np.packbits(out >= f, bitorder="little").tobytes() for f in flags) if flags else out.astype(kind).tobytes()], pa.binary())], ["block", "cells"])
 
-    parts = df.mapInArrow(partial, "block int, sparse boolean, cells binary")
+    parts = df.mapInArrow(tidy(partial), "block int, sparse boolean, cells binary")
     sums = parts.groupBy("block").applyInArrow(total, "block int, cells binary")
     if flags:
         reached = np.zeros((len(flags), (depth << bits) // 8), np.uint8)

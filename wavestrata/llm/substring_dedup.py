@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from wavestrata.llm.runs import whole_runs
 from wavestrata.llm.sketch import flagged, merged_sketch
 from wavestrata.llm.store import partitions, small_batches, written
-from wavestrata.llm.textkit import U64, as_long, hash_words, mix, release_memory, row_groups, text_buffers, word_spans
+from wavestrata.llm.textkit import U64, as_long, hash_words, mix, row_groups, text_buffers, tidy, word_spans
 
 _LAST = np.iinfo(np.int64).max
 _OFTEN = 200  # places of a minimizer from which its windows are dealt out one by one
@@ -102,7 +102,7 @@ def _minimizers(window: int, gram: int):
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
         data, offsets = text_buffers(batch.column(0))
         out = []
-        for a, b in row_groups(offsets, 4 << 20):
+        for a, b in row_groups(offsets, 1 << 20):
             w = _Windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram, False)
             if len(w.place):
                 out.append(w.least[np.flatnonzero(np.diff(w.place, prepend=-1))])  # places never go back
@@ -170,13 +170,12 @@ def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, depth: in
     shared = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), _minimizers(window, gram), depth, bits, _OFTEN, flags=(2, _OFTEN)))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         sketch = shared.value
         for batch in batches:
             ids = batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column(2))
             found = []
-            for a, b in row_groups(offsets, 4 << 20):
+            for a, b in row_groups(offsets, 1 << 20):
                 w = _Windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram, True)
                 if len(w.hash):
                     keep = np.flatnonzero(flagged(sketch[0], w.least, depth, bits))
@@ -200,10 +199,10 @@ def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, depth: in
                     yield _runs(batch, row[x], start[x], place[x], None if known else least[x], h[x])
 
     keyed = texts.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    found = written(keyed.mapInArrow(settle, _RUNS), "windows")
+    found = written(keyed.mapInArrow(tidy(settle), _RUNS), "windows")
     own = found.where("least IS NULL").select("doc_id", "text_key", "start", "n")
     first = found.where("least IS NOT NULL").repartition(partitions(spark), "least").sortWithinPartitions("least")
-    marks = own.unionByName(first.mapInArrow(_later, "doc_id long, text_key long, start int, n int"))
+    marks = own.unionByName(first.mapInArrow(tidy(_later), "doc_id long, text_key long, start int, n int"))
     return marks.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
@@ -250,7 +249,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, **sketch: int) -> DataFr
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], [*names, *added])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return both.mapInArrow(cut, schema)
+    return both.mapInArrow(tidy(cut), schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ with probability about 2**-64; the operators that use the hashes name this.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,5 +160,18 @@ def release_memory() -> None:
         trim(0)
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work on the batches of a task, giving back freed memory before and after; Python workers live on between tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
