@@ -47,6 +47,17 @@ def test_words_and_shingles():
     assert [len(s) for s in textkit.shingle_sets(pa.array(texts), 4)] == [1, 0, 0, 1, 1, 1, 2, 1]
 
 
+@pytest.mark.parametrize("n", [8, 9, 63, 64, 65, 1024, 2048, 4096])
+def test_like_words_have_different_hashes(n):
+    import pyarrow as pa
+
+    texts = [*tricky.alike(n), tricky.alike(n)[0] + "a"]
+    data, offsets = textkit.text_buffers(pa.array(texts))
+    starts, ends, _ = textkit.word_spans(data, offsets)
+    assert len(set(textkit.hash_words(data, starts, ends).tolist())) == 3
+    assert textkit.same_words(data, starts[[0, 0]], ends[[0, 0]], data, starts[:2], ends[:2]).tolist() == [True, False]
+
+
 def test_fingerprints(docs, none, rows):
     got = [tuple(r) for r in fingerprint.fingerprints_with_edits(docs).collect()]
     texts = {}
@@ -232,6 +243,21 @@ def test_tokens_by_word_equal_tokens_by_text():
             assert flat[bounds[k] : bounds[k + 1]].tolist() == encoder.encode(t, add_special_tokens=False).ids + [0]
 
 
+def test_words_with_one_hash_get_their_own_ids(monkeypatch):
+    import pyarrow as pa
+
+    from wavestrata.llm import tokens
+
+    real = tokens.hash_words
+    monkeypatch.setattr(tokens, "hash_words", lambda *a: real(*a) % np.uint64(7))
+    texts = [t or "" for _, t, *_ in tricky.documents()[:20]]
+    words = WordTokenizer(packing.vocabulary())
+    for _ in range(2):
+        flat, bounds = words.encode(*textkit.text_buffers(pa.array(texts)))
+        for k, t in enumerate(texts):
+            assert flat[bounds[k] : bounds[k + 1]].tolist() == words.encoder.encode(t, add_special_tokens=False).ids + [0]
+
+
 def test_mixing(spark, docs, none, rows):
     got = mixing.mix_sources(docs, mixing.WEIGHTS, 7)
     again = collections.Counter(tuple(r) for r in mixing.mix_sources(docs.repartition(3), mixing.WEIGHTS, 7).collect())
@@ -302,6 +328,13 @@ def test_license_scan(spark, docs, none, rows):
     assert license_scan.scan_licenses(docs).count() == 0 and license_scan.scan_licenses(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_license_scan_of_like_words(spark, n):
+    words = [" ".join(["a b c d", w, "e f g h"]) for w in tricky.alike(n)]
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), {"first": words[0]}).collect()
+    assert [(r.doc_id, r.containment) for r in got] == [(0, 1.0)]
+
+
 def test_license_scan_equals_the_exact_share_of_every_window(data):
     import duckdb
     import pyarrow as pa

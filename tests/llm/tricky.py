@@ -5,6 +5,12 @@ import random
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def alike(n: int) -> tuple[str, str]:
+    """Two different words of n letters that sums of powers cannot tell apart: a Thue-Morse word and its complement."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def documents(seed: int = 0, n: int = 60) -> list[tuple]:
     rng = random.Random(seed)
     words = [f"w{k}" for k in range(120)] + ["É", "é", "ẞ", "x" * 300, "語", "A", "a", "!", "|", "***"]
@@ -30,6 +36,9 @@ def documents(seed: int = 0, n: int = 60) -> list[tuple]:
             text = make(rng.choice([1, 2, 3, 4, 19, 20, 21, 400]))
         rows.append((k * 3 + 1, text, rng.choice(["en", "de", None]), f"src{rng.randrange(22)}", len(text)))
     rows.append((2000, make(40_000), "en", "src3", 0))  # very long
+    for k, n in enumerate((1024, 2048, 4096)):
+        for j, word in enumerate(alike(n)):
+            rows += [(4000 + 10 * k + j, word, "en", "src4", n), (5000 + 10 * k + j, " ".join([word, *(f"z{k}x{i}" for i in range(12)), word, *(f"z{k}y{i}" for i in range(10)), word]), "en", "src5", 0)]
     rows.append(rows[7])  # repeated rows
     rows.append(rows[7])
     rng.shuffle(rows)

@@ -2,13 +2,14 @@
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; in UTF-8 this
 equals the pattern ``[^\\x20\\x09-\\x0D]+`` on code points. Words and word
-n-grams are represented by 64-bit hashes. Two different n-grams share a hash
-with probability about 2**-64; the operators that use the hashes name this.
+n-grams are represented by 64-bit hashes of all their bytes. Two different n-grams share a hash
+with probability about 2**-64, whatever their words look like; the operators that use the hashes name this.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,30 +17,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 19
 _MASK = (1 << 64) - 1
-
-
-def _table(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-
-
-_BYTE = _table(20240117)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_LONG = 64  # bytes from which a word is hashed by a digest of its bytes
+_START, _FACTOR = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)  # the first k of eight bytes
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and its inverse for i < n at least, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, _BLOCK)
-        _powers[:] = [np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, x, U64)]), dtype=U64) for x in (_BASE, _BASE_INV)]
-    return _powers[0], _powers[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -84,22 +69,48 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word; with lower, A-Z count as a-z."""
-    out = np.empty(len(starts), U64)
-    byte = _BYTE_LOWER if lower else _BYTE
-    a = 0
-    while a < len(starts):
-        base = starts[a]
-        b = max(a + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
-        seg = data[base : ends[b - 1]]
-        power, inverse = _power_tables(len(seg))
-        total = np.zeros(len(seg) + 1, U64)
-        np.cumsum(byte[seg] * power[: len(seg)], out=total[1:])
-        s, e = starts[a:b] - base, ends[a:b] - base
-        out[a:b] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U64))
-        a = b
-    return out
+    """A 64-bit hash of each word; with lower, A-Z count as a-z.
+
+    The length and then every eight bytes go through a bijection of 64 bits, so different words of one length up to eight bytes never
+    agree; words over _LONG bytes are hashed by BLAKE2b.
+    """
+    data = _LOWER[data] if lower else data
+    size, eight = ends - starts, lanes(data)
+    h = mix(size.astype(U64) * _START)
+    h = mix(h ^ (eight[starts] & _KEEP[np.minimum(size, 8)]))
+    more, k = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(more):
+        h[more] = mix(h[more] * _FACTOR ^ (eight[starts[more] + k] & _KEEP[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_words(x: np.ndarray, x_starts: np.ndarray, x_ends: np.ndarray, y: np.ndarray, y_starts: np.ndarray, y_ends: np.ndarray) -> np.ndarray:
+    """Whether each word of x has the same bytes as the word of y in its place."""
+    size = x_ends - x_starts
+    same = size == y_ends - y_starts
+    a = lanes(x)
+    b = a if x is y else lanes(y)
+    rest, k = np.flatnonzero(same & (size <= _LONG)), 0
+    while len(rest):
+        differ = ((a[x_starts[rest] + k] ^ b[y_starts[rest] + k]) & _KEEP[np.minimum(size[rest] - k, 8)]) != 0
+        same[rest[differ]] = False
+        k += 8
+        rest = rest[~differ & (size[rest] > k)]
+    for i in np.flatnonzero(same & (size > _LONG)).tolist():
+        same[i] = np.array_equal(x[x_starts[i] : x_ends[i]], y[y_starts[i] : y_ends[i]])
+    return same
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -109,7 +120,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, U64)
     acc = words[:m].copy()
     for k in range(1, n):
-        acc *= U64(0xD6E8FEB86659FD93)
+        acc *= _FACTOR
         acc += words[k : k + m]
     return mix(acc)
 

@@ -9,16 +9,17 @@ from itertools import chain, islice
 
 import numpy as np
 
-from wavestrata.llm.textkit import U64, hash_words, word_spans
+from wavestrata.llm.textkit import U64, hash_words, same_words, word_spans
 
-_MOST_WORDS, _AT_ONCE = 2_000_000, 5_000
+_MOST_BYTES, _AT_ONCE = 12 << 20, 5_000
 
 
 class WordTokenizer:
     """Ids by tokenizers for a vocabulary whose pre-tokens never cross white space.
 
-    The text's ids are then the ids of its words, one after the other. Ids are kept by the
-    64-bit hash of the word, for _MOST_WORDS distinct words at most; after that the store starts anew.
+    The text's ids are then the ids of its words, one after the other. Ids are kept by the 64-bit hash of the
+    word together with its bytes, which every use compares, so words with one hash still get their own ids. The store holds
+    _MOST_BYTES at most; a batch that would outgrow it starts it anew.
     """
 
     def __init__(self, path: str):
@@ -30,9 +31,9 @@ class WordTokenizer:
 
     def _reset(self) -> None:
         self.keys = np.zeros(0, U64)
-        self.at = np.zeros(0, np.int32)
-        self.size = np.zeros(0, np.int32)
+        self.at, self.size, self.from_, self.to = (np.zeros(0, np.int32) for _ in range(4))  # places in the ids and in the bytes
         self.pool = np.zeros(1, self.kind)  # id 0 is at place 0
+        self.bytes = np.zeros(0, np.uint8)
 
     @classmethod
     def of_worker(cls, path: str) -> WordTokenizer:
@@ -43,37 +44,53 @@ class WordTokenizer:
             kept[path] = cls(path)
         return kept[path]
 
-    def _learn(self, keys: np.ndarray, words: Iterator[str]) -> None:
-        """Adds new words, given in the order of their keys, a slice at a time."""
+    def _ids(self, words: Iterator[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of n words, one after the other, and how many each has."""
         encode = getattr(self.encoder, "encode_batch_fast", self.encoder.encode_batch)
-        size, flat = np.empty(len(keys), np.int32), [self.pool]
-        for a in range(0, len(keys), _AT_ONCE):
+        size, flat = np.empty(n, np.int32), []
+        for a in range(0, n, _AT_ONCE):
             ids = [x.ids for x in encode(list(islice(words, _AT_ONCE)), add_special_tokens=False)]
             size[a : a + len(ids)] = [len(x) for x in ids]
             flat.append(np.fromiter(chain.from_iterable(ids), self.kind))
+        return np.concatenate([np.zeros(0, self.kind), *flat]), size
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Adds new words, given in the order of their keys."""
+        flat, size = self._ids((data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), len(keys))
         at = (len(self.pool) + np.cumsum(size) - size).astype(np.int32)
-        self.pool = np.concatenate(flat)
+        to = (len(self.bytes) + np.cumsum(ends - starts)).astype(np.int32)
+        from_ = (to - (ends - starts)).astype(np.int32)
+        self.pool = np.concatenate([self.pool, flat])
+        self.bytes = np.concatenate([self.bytes, *(data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))])
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
+        self.keys = np.insert(self.keys, where, keys)
+        self.at, self.size, self.from_, self.to = (np.insert(x, where, y) for x, y in ((self.at, at), (self.size, size), (self.from_, from_), (self.to, to)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, each followed by end_id, and the n + 1 bounds of the rows."""
         starts, ends, rows = word_spans(data, offsets)
         h, first, back = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(h) > _MOST_WORDS:
+        if 24 * (len(self.keys) + len(h)) + self.pool.nbytes + len(self.bytes) + 2 * len(data) > _MOST_BYTES:
             self._reset()
         place = np.searchsorted(self.keys, h)
         new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != h) if len(self.keys) else np.arange(len(h))
         if len(new):
-            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-            self._learn(h[new], (data[a:b].tobytes().decode() for a, b in spans))
+            self._learn(h[new], data, starts[first[new]], ends[first[new]])
             place = np.searchsorted(self.keys, h)
+        own = place[back]  # the stored word of each word
+        pool, text_at, text_size = self.pool, self.at[own], self.size[own]
+        ours = same_words(data, starts[first], ends[first], self.bytes, self.from_[place], self.to[place])[back] & same_words(data, starts, ends, data, starts[first][back], ends[first][back])
+        other = np.flatnonzero(~ours)
+        if len(other):  # another word has the same hash
+            flat, text_size[other] = self._ids((data[starts[k] : ends[k]].tobytes().decode() for k in other.tolist()), len(other))
+            text_at[other] = len(pool) + np.cumsum(text_size[other]) - text_size[other]
+            pool = np.concatenate([pool, flat])
         n = len(offsets) - 1
         at, size = np.zeros(len(starts) + n, np.int64), np.ones(len(starts) + n, np.int64)
         text = np.arange(len(starts)) + np.repeat(np.arange(n), np.diff(rows))
-        at[text], size[text] = self.at[place][back], self.size[place][back]
+        at[text], size[text] = text_at, text_size
         bounds = np.concatenate([[0], np.cumsum(size)])
-        flat = self.pool[np.repeat(at - bounds[:-1], size) + np.arange(bounds[-1])]
+        flat = pool[np.repeat(at - bounds[:-1], size) + np.arange(bounds[-1])]
         closing = rows[1:] + np.arange(n)
         if end_id:
             flat = flat.astype(np.uint32)
