@@ -172,8 +172,8 @@ def test_written_tables_can_be_dropped(spark):
 
     df = store.written(spark.range(5).toDF("x"), "mine")
     assert df.count() == 5
-    path = store._written[-1]
-    store.drop_written(spark)
+    path = store._written[df]
+    store.dropped(df)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     assert not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 

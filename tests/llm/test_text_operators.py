@@ -133,6 +133,32 @@ def test_jaccard_join_of_a_large_group_of_near_copies(spark):
     assert collections.Counter(tuple(r) for r in jaccard_join.near_duplicates(df, 4, 85, 100).collect()) == plain_components(rows, 4, 85, 100)
 
 
+def test_candidates_of_a_block_are_all_pairs_with_the_similarity_once():
+    """Random prefixes: what the blocks of all groups propose holds every linked pair of different components, none twice."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(60, int(rng.integers(20, 40)), replace=False)).astype(np.uint64) for _ in range(60)]
+    for k in range(0, 60, 3):  # near copies
+        sets[k + 1] = np.unique(np.append(np.delete(sets[k], rng.integers(len(sets[k]))), np.uint64(100 + k)))
+    num, den = 80, 100
+    count = collections.Counter(x for s in sets for x in s.tolist())
+    order = [sorted(s.tolist(), key=lambda x: (count[x], x))[: jaccard_join.prefix_length(len(s), num, den)] for s in sets]
+    group_of = {x: x % 4 for x in count}
+    seen = collections.Counter()
+    for g in range(4):
+        rows = [k for k, o in enumerate(order) if any(group_of[x] == g for x in o)]
+        entries = [(i, x, p, group_of[x]) for i, k in enumerate(rows * 2) for p, x in enumerate(order[k])]
+        row, token, place, of_group = map(np.array, zip(*entries, strict=True))
+        n = np.array([len(sets[k]) for k in rows * 2])
+        block = {
+            "key": np.array(rows * 2), "component": np.array(rows * 2) + 1000, "probe": np.arange(2 * len(rows)) >= len(rows), "n": n, "row": row, "token": token, "place": place,
+            "of_group": of_group, "centre": np.zeros(len(row), bool), "ranges": np.array([jaccard_join._ranges(sets[k]) for k in rows * 2]).astype(np.int16),
+        }
+        for p, m in jaccard_join._candidates(g, block, num, den):
+            seen.update((min(x, y), max(x, y)) for x, y in zip(block["key"][p].tolist(), block["key"][m].tolist(), strict=True))
+    linked = {(a, b) for b in range(60) for a in range(b) if den * len(np.intersect1d(sets[a], sets[b])) >= num * len(np.union1d(sets[a], sets[b]))}
+    assert linked and linked <= set(seen) and set(seen.values()) == {1}
+
+
 def test_keep_one(docs, rows):
     kept = jaccard_join.keep_one(docs, 5, 80, 100)
     assert kept.columns == docs.columns

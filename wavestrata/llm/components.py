@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavestrata.llm.store import written
+from wavestrata.llm.store import dropped, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +54,12 @@ def _state(links: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link, component being its least node.
 
-    links has columns a and b. Each round computes the least neighbour of each node with map-side
+    links has columns a and b; none may be null. Without links the result is empty. Each round computes the least neighbour of each node with map-side
     aggregation and writes the new links to the shared folder. The number of rounds grows with the logarithm of the longest path.
     """
-    links = links.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long")
-    links = written(links.distinct(), "links")
+    given = written(links.select("a", "b").where("a <> b"), "given")  # so that no task needs Python workers for two steps at once
+    links = written(given.mapInArrow(_contract, "a long, b long").distinct(), "links")
+    dropped(given)
     state = _state(links)
     while state[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -69,7 +70,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
         linked = _with_least(large, "a", least)
         small = linked.select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-        links = written(small, "links")
+        old, links = links, written(small, "links")
+        dropped(old, large)
         before, state = state, _state(links)
         if state == before:
             break
