@@ -335,8 +335,66 @@ def test_held_out_accuracy(spark, data):
 
 
 def test_isotonic():
-    got = quality.isotonic(np.array([0.1, 0.4, 0.2, 0.9, 0.8]), np.array([1.0, 1, 3, 1, 1]))
-    assert np.allclose(got, [0.1, 0.25, 0.25, 0.85, 0.85])
+    at, value = quality.isotonic(np.arange(5.0), np.array([0.1, 0.4, 0.2, 0.9, 0.8]), np.array([1.0, 1, 3, 1, 1]))
+    assert np.allclose(at, [0, 1.75, 3.5]) and np.allclose(value, [0.1, 0.25, 0.85])
+
+
+def plain_statistics(text):
+    """The statistics of one text, by their names."""
+    data, words = text.encode(), [w.encode() for w in WORDS.findall(text)]
+    if not data:
+        return dict.fromkeys(quality.FEATURES, 0.0)
+    share = lambda test, of: sum(map(test, of)) / max(1, len(of))
+    out = {f"{c} share": share(lambda x, c=c: x in quality._CLASSES[c], data) for c in quality._CLASSES}
+    counts = collections.Counter(data)
+    has = lambda w, c: any(x in quality._CLASSES[c] for x in w)
+    length = [len(w) for w in words]
+    mean = sum(length) / max(1, len(words))
+    equal = [k > 0 and w == words[k - 1] for k, w in enumerate(words)]
+    symbol = [has(w, "symbol") for w in words]
+    capital = [len(w) > 1 and sum(x in quality._CLASSES["upper"] for x in w) >= 0.6 * len(w) for w in words]
+    bar = [w == b"|" for w in words]
+    old = [w in words[:k] for k, w in enumerate(words)]
+    most = lambda flags: max((sum(flags[k : k + 32]) / max(16, len(flags[k : k + 32])) for k in range(0, len(flags), 32)), default=0)
+    pairs = list(zip(words, words[1:], strict=False))
+    out |= {
+        "log bytes": math.log1p(len(data)), "log words": math.log1p(len(words)), "byte entropy": -sum(n / len(data) * math.log2(n / len(data)) for n in counts.values()), "mean word length": mean,
+        "word length deviation": math.sqrt(max(0, sum(x * x for x in length) / max(1, len(words)) - mean**2)), "longest word": math.log1p(max(length, default=0)), "distinct words": len(set(words)) / max(1, len(words)),
+        "distinct pairs": len(set(pairs)) / max(1, len(words) - 1), "equal neighbours": share(bool, equal), "short words": share(lambda x: x <= 3, length), "symbol words": share(bool, symbol),
+        "capital words": share(bool, capital), "bar words": share(bool, bar), "most equal neighbours": most(equal), "most symbol words": most(symbol), "most capital words": most(capital), "most bar words": most(bar),
+        "least distinct words": most(old), "words a line": math.log1p(len(words) / (data.count(b"\n") + 1)),
+    }
+    return out
+
+
+def test_scores_equal_a_plain_fit(spark, docs, rows):
+    """Ridge on the same features by one least-squares call over all rows, calibrated by the definition of the isotonic fit."""
+    few = [r for r in rows if len(r[1] or "") < 50_000]
+    labels = [(k * 3 + 1, int(k % 6 != 3)) for k in range(60)]
+    got = {(r.doc_id, r.text): r.score for r in quality.score_quality(spark.createDataFrame(few, tricky.SCHEMA).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    x = np.array([[plain_statistics(t or "")[f] for f in quality.FEATURES] for _, t, *_ in few])
+    z = quality.random_features(x, x.mean(0), np.maximum(1e-6, x.std(0)))
+    known = dict(labels)
+    crc = lambda i: zlib.crc32(str(i).encode()) % 3
+    rows_of = {f: [k for k, r in enumerate(few) if r[0] in known and (crc(r[0]) == 0 if f == 0 else crc(r[0]) == 2)] for f in (0, 1)}
+    y = np.array([known.get(r[0], 0) for r in few], float)
+
+    def ridge(at):
+        penalty = np.sqrt([quality.RIDGE * max(1, len(at))] * quality.RANDOM + [1e-9])
+        return np.linalg.lstsq(np.concatenate([z[at], np.diag(penalty)]), np.append(y[at], np.zeros(len(penalty))), rcond=None)[0]
+
+    own = {f: ridge(at) for f, at in rows_of.items()}
+    both = rows_of[0] + rows_of[1]
+    crossed = np.concatenate([z[rows_of[0]] @ own[1], z[rows_of[1]] @ own[0]])
+    bins = np.clip(((crossed - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS).astype(int), 0, quality.BINS - 1)
+    used = np.unique(bins)
+    n, ones = (np.array([(y[both] >= limit)[bins == b].sum() for b in used]) for limit in (0, 1))
+    best = np.array([max(min(ones[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, len(used))) for i in range(k + 1)) for k in range(len(used))])  # minimax form
+    centre = quality.LOW + (used + 0.5) * (quality.HIGH - quality.LOW) / quality.BINS
+    levels = sorted(set(np.round(best, 12)))
+    at = [np.average(centre[np.isclose(best, v)], weights=n[np.isclose(best, v)]) for v in levels]
+    for (i, t, *_), raw in zip(few, z @ ridge(both), strict=True):
+        assert abs(got[i, t] - np.interp(raw, at, levels)) < 1e-3, i
 
 
 def test_license_scan(spark, docs, none, rows):

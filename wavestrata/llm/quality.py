@@ -5,7 +5,8 @@ them). They are standardised over all documents; cosines of fixed random project
 Gaussian kernel. Each partition sums its part of the normal equations, once for each of two folds of the
 labelled rows; the executors add the parts up and the driver solves two fold models and the model of both. Each
 fold is scored by the other's model, these scores are counted in fixed bins, and pool-adjacent-violators on
-the bins gives a monotone map from the model's value to the share of label 1.
+the bins gives a monotone map from the model's value to the share of label 1, linear between the centres of the pools. Texts
+are described once: the statistics are a table, from which the fit and the scores are computed.
 
 The driver holds one matrix of RANDOM + 1 columns a fold and BINS counts, whatever the input. All labelled rows
 take part in the fit.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavestrata.llm.store import partitions, small_batches, written
+from wavestrata.llm.store import dropped, partitions, small_batches, written
 from wavestrata.llm.textkit import hash_words, ngram_hashes, row_groups, text_buffers, tidy, word_spans
 
 RANDOM, SEED, RIDGE, BINS, BLOCK = 256, 11, 1e-3, 2000, 32
@@ -118,11 +119,9 @@ class Model:
     weights: np.ndarray
     at: np.ndarray
     value: np.ndarray
-    order: float = 0.001  # share of a second term, which keeps the order of values that the calibration puts together
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        raw = random_features(x, self.mean, self.scale) @ self.weights
-        return (1 - self.order) * np.interp(raw, self.at, self.value) + self.order / (1 + np.exp(-4 * (raw - 0.5)))
+        return np.interp(random_features(x, self.mean, self.scale) @ self.weights, self.at, self.value)
 
 
 def random_features(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -146,16 +145,16 @@ def _moments(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array(clean[::2]), np.maximum(1e-6, np.array(clean[1::2]))
 
 
-def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The non-decreasing sequence nearest to value, by pooling neighbours that fall."""
-    pools: list[list[float]] = []
-    for v, w in zip(value, weight, strict=True):
-        pools.append([v, w, 1])
-        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
-            v2, w2, n2 = pools.pop()
-            v1, w1, n1 = pools.pop()
-            pools.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
-    return np.concatenate([np.full(int(n), v) for v, _, n in pools]) if pools else np.zeros(0)
+def isotonic(at: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and values of the pools of the non-decreasing sequence nearest to value, by pooling neighbours that do not rise."""
+    pools: list[tuple[float, float, float]] = []
+    for x, v, w in zip(at.tolist(), value.tolist(), weight.tolist(), strict=True):
+        pools.append((x, v, w))
+        while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
+            (x1, v1, w1), (x2, v2, w2) = pools[-2:]
+            w = w1 + w2
+            pools[-2:] = [((x1 * w1 + x2 * w2) / w, (v1 * w1 + v2 * w2) / w, w)]
+    return np.array([p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
 def fit(features: DataFrame, labelled: DataFrame) -> Model:
@@ -197,7 +196,7 @@ def fit(features: DataFrame, labelled: DataFrame) -> Model:
     n, ones = both[-1, width - 1], both[-1, width]
     if n == 0 or ones in (0, n):
         value = 0.5 if n == 0 else ones / n
-        return Model(mean, scale, solve(both), np.array([0.0, 1.0]), np.array([value, value]), 0.0)
+        return Model(mean, scale, solve(both), np.array([0.0, 1.0]), np.array([value, value]))
     own = [solve(s) for s in folds]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,48 +213,59 @@ def fit(features: DataFrame, labelled: DataFrame) -> Model:
     bins = labelled.select("x", "y", "fold").mapInArrow(counted, "bin long, n double, ones double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
     table = np.array(sorted((r.bin, r.n, r.ones) for r in bins.collect()))  # BINS rows at most
     at = LOW + (table[:, 0] + 0.5) * (HIGH - LOW) / BINS
-    return Model(mean, scale, solve(both), at, isotonic(table[:, 2] / table[:, 1], table[:, 1]))
+    return Model(mean, scale, solve(both), *isotonic(at, table[:, 2] / table[:, 1], table[:, 1]))
 
 
 def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with score (0 to 1), predicted (1 from 0.5 on) and held_out, which replace such columns.
-
-    labels has doc_id and quality. Rows that held_out marks are not learned from.
-    """
-    added = [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+def described(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns keep of docs, and __x, the statistics of text, as a table."""
     small_batches(docs.sparkSession)
-    docs = docs.drop(*(f.name for f in added))
-    model = learn(docs, labels)
-    names = docs.columns
-    place = names.index("text")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = model.score(statistics(batch.column(place)).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "held_out", "score", "predicted"])
-
-    return docs.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(tidy(judge), T.StructType([*docs.schema.fields, *added]))
 
-
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = statistics(batch.column(1))
+            x = statistics(batch.column(0))
             bounds = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.ravel()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.ravel()))], [*keep, "__x"])
+
+    given = docs.select(F.col("text").alias("__text"), *keep)
+    schema = T.StructType([*given.schema.fields[1:], T.StructField("__x", T.ArrayType(T.FloatType()))])
+    return written(given.mapInArrow(tidy(describe), schema), "statistics")
 
-    features = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(describe), "doc_id long, x array<float>"), "statistics")
+
+def learn(features: DataFrame, labels: DataFrame) -> Model:
+    """The model for a table with doc_id and __x."""
+    features = features.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__x").alias("x"))
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.avg("quality").alias("y"))
     known = known.where(~held_out(F.col("id"))).select("id", F.when(F.col("y") >= 0.5, 1.0).otherwise(0.0).alias("y"))
-    labelled = features.join(known, F.col("doc_id") == F.col("id")).select("x", "y", F.when(F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 0, 0).otherwise(1).cast("long").alias("fold"))
-    return fit(features, written(labelled, "labelled"))
+    fold = F.when(F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 0, 0).otherwise(1).cast("long")
+    labelled = written(features.join(known, F.col("doc_id") == F.col("id")).select("x", "y", fold.alias("fold")), "labelled")
+    model = fit(features, labelled)
+    dropped(labelled)
+    return model
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (all, if not given) with held_out, score (0 to 1) and predicted (1 from 0.5 on), which replace such columns.
+
+    labels has doc_id and quality. Rows that held_out marks are not learned from.
+    """
+    added = ("held_out", "score", "predicted")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    table = described(docs, [*keep, *({"doc_id"} - set(keep))])
+    model = learn(table, labels)
+
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(model.score(_rows(x)))
+
+    scored = table.select(*keep, held_out(F.col("doc_id")).alias("held_out"), score("__x").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return score_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
+    return score_quality(docs, labels, ["doc_id"])
