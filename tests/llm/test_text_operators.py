@@ -195,7 +195,7 @@ def plain_dedup(rows, window):
 
 
 def test_substring_dedup(docs, none, rows):
-    got = substring_dedup.dedup_substrings(docs, 20, bits=16)
+    got = substring_dedup.dedup_substrings(docs, 20)
     assert set(got.columns) == {*docs.columns, "n_words", "n_removed", "kept_sha256"} and got.select("label").distinct().count() == 1
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == plain_dedup(rows, 20)
     same = {(r.doc_id, r.text) for r in got.where("n_removed = 0").collect()}
@@ -203,12 +203,47 @@ def test_substring_dedup(docs, none, rows):
     assert substring_dedup.dedup_substrings(none, 20).count() == 0
 
 
-def test_a_full_sketch_changes_nothing(docs, rows):
-    """With so few cells that every window is estimated repeated, the exact pass still decides."""
-    got = substring_dedup.dedup_substrings(docs, 20, bits=9, depth=1)
+def test_a_full_sketch_changes_nothing(docs, rows, monkeypatch):
+    """With so few cells that nearly every window is estimated repeated, the exact pass still decides; also with a tree of merges."""
+    from wavestrata.llm import sketch
+
+    monkeypatch.setattr(sketch, "_MERGED", 50)
+    got = substring_dedup.dedup_substrings(docs, 20, most_bits=10)
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == plain_dedup(rows, 20)
 
 
+def test_sketch_never_estimates_too_low(spark, monkeypatch):
+    from wavestrata.llm import sketch
+
+    monkeypatch.setattr(sketch, "_HELD", 1000)
+    monkeypatch.setattr(sketch, "_MERGED", 400)
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 3000, 6000)
+    n = collections.Counter(values.tolist())
+    layout = [sketch.Rows(1, 16), sketch.Rows(2, 12, least=4, start=1 << 16, seed=1)]
+    df = spark.createDataFrame([(int(v),) for v in values], "v long").repartition(5)
+    bits = sketch.flagged_cells(df, lambda batch: [textkit.mix(batch.column(0).to_numpy().astype(np.uint64))] * 2, layout, 18_000)
+    keys = np.array(sorted(n), np.uint64)
+    count = np.array([n[int(k)] for k in keys])
+    twice, four = (sketch.flagged(bits, r, textkit.mix(keys)) for r in layout)
+    assert twice[count >= 2].all() and four[count >= 4].all() and twice[count == 1].mean() < 0.1 and four[count < 4].mean() < 0.6
+
+
+def test_the_sketch_filters_alike_at_every_size():
+    """Cells grow with the input up to the bound, so the load of each row stays under a half."""
+    for n_bytes in (10**5, 10**7, 10**8, 9 * 10**8):
+        (seen, least, often), _ = substring_dedup.sketch_rows(n_bytes, 20, 8, 28)
+        assert n_bytes / 7 <= 0.5 * 2**seen.bits and n_bytes / 49 <= 0.5 * 2**least.bits and 200 <= often.least <= 256
+
+
+def test_places_of_sketches_survive_their_encoding():
+    from wavestrata.llm import sketch
+
+    at = np.array([0, 1, 254, 255, 256, 511, 4_000_000, 4_194_303], np.uint32)
+    count = np.array([1, 2, 1, 300, 1, 1, 7, 1])
+    assert [x.tolist() for x in sketch._decoded(*sketch._encoded(at, count))] == [at.tolist(), count.tolist()]
+
+
 def test_packing(docs, none, rows):
     from tokenizers import Tokenizer
 

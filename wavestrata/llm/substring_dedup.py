@@ -1,18 +1,18 @@
 """Substring dedup: remove word windows that occurred earlier, with a count-min prefilter.
 
-1. Each partition counts, in a count-min sketch, the minimizer of every window
-   (the leftmost smallest hash among the window's inner word 8-grams, counted once per
-   place). Equal windows have equal minimizers at different places, so the merged sketch
-   overestimates the count of every window and a window with an estimate of 1 is unique.
-   The sketch has a fixed size, whatever the input.
+1. Each partition counts, in a count-min sketch, every window (one row of cells) and, in two more rows, the windows'
+   minimizers (the leftmost smallest hash among a window's inner word 8-grams, counted once per place). Equal windows at
+   different starts have equal minimizers at different places, so each row of the merged sketch overestimates the count of every window,
+   and a window whose least estimate is 1 is unique. The number of cells follows from the bytes of the input.
 2. A second pass looks at windows estimated repeated only. Each batch settles what repeats
    inside it; the first of each window goes to an exact grouping by minimizer (64 bits) and
    window hash (48 bits), windows of one minimizer in one row. So a passage in a third of all
-   documents sends a few rows per batch. Windows of a minimizer that the sketch estimates frequent, as in
+   documents sends a few rows per batch. Windows of a minimizer that a further row of cells estimates frequent, as in
    near copies of one text, are grouped by minimizer and window together, so they spread over all tasks.
 3. The marks meet the texts again by document, and the words they cover go.
 
-As the input outgrows the sketch, more unique windows reach step 2; results do not change.
+The sketch goes to all executors, so `most_bits` bounds its rows (by default 2**28 cells for windows and 2**26 for each row of
+minimizers, 48 MB of bits in all, reached at about a gigabyte of text). Beyond that more unique windows reach step 2; results do not change.
 Two different windows are taken for the same with probability 2**-64 in a batch, 2**-112 between batches.
 
 Rows: a null text is empty; empty texts and texts with fewer words than a window lose
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavestrata.llm.runs import whole_runs
-from wavestrata.llm.sketch import flagged, merged_sketch
+from wavestrata.llm.sketch import Rows, bits_for, byte_total, flagged, flagged_cells
 from wavestrata.llm.store import partitions, small_batches, written
 from wavestrata.llm.textkit import U64, as_long, hash_words, mix, row_groups, text_buffers, tidy, word_spans
 
@@ -77,7 +77,7 @@ def _leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
 class _Windows:
     """The windows of a few rows: their hashes, rows, starts and minimizers."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int, full: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
         starts, ends, bounds = word_spans(data, offsets)
         self.row = self.start = np.zeros(0, np.int64)
         self.least = self.hash = np.zeros(0, U64)
@@ -90,27 +90,40 @@ class _Windows:
         at = np.flatnonzero(np.arange(len(words)) + window <= bounds[1:][owner])
         if not len(at):
             return
-        runs = _spans_hashes(words, (gram, window) if full else (gram,))
+        runs = _spans_hashes(words, (gram, window))
         place = _leftmost_least(runs[gram], window - gram + 1)[at]
         self.place, self.least = place, runs[gram][place]
-        if full:
-            self.hash, self.row = runs[window][at], owner[at]
-            self.start = at - bounds[:-1][self.row]
+        self.hash, self.row = runs[window][at], owner[at]
+        self.start = at - bounds[:-1][self.row]
 
 
-def _minimizers(window: int, gram: int):
-    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+def _counted(window: int, gram: int):  # noqa: ANN202
+    """What the sketch counts of a batch: its windows, its minimizers, and these again for the row that finds frequent ones."""
+
+    def hashes(batch: pa.RecordBatch) -> list[np.ndarray]:
         data, offsets = text_buffers(batch.column(0))
-        out = []
+        whole, least = [np.zeros(0, U64)], [np.zeros(0, U64)]
         for a, b in row_groups(offsets, 1 << 20):
-            w = _Windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram, False)
-            if len(w.place):
-                out.append(w.least[np.flatnonzero(np.diff(w.place, prepend=-1))])  # places never go back
-        return np.concatenate(out) if out else np.zeros(0, U64)
+            w = _Windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram)
+            whole.append(w.hash)
+            least.append(w.least[np.flatnonzero(np.diff(w.place, prepend=-1))])  # places never go back
+        minimizers = np.concatenate(least)
+        return [np.concatenate(whole), minimizers, minimizers]
 
     return hashes
 
 
+def sketch_rows(n_bytes: int, window: int, gram: int, most_bits: int) -> tuple[list[Rows], float]:
+    """The rows of cells for so many bytes of text, and how many entries they get: windows, minimizers, frequent minimizers."""
+    words = n_bytes / 7
+    places = words * 2 / (window - gram + 2)
+    seen = Rows(1, bits_for(words, most_bits))
+    least = Rows(2, bits_for(places, most_bits - 2), start=seen.end, seed=1)
+    bits = bits_for(places / 32, most_bits - 4)
+    often = Rows(1, bits, least=max(_OFTEN, int(16 * places / (1 << bits))), start=least.end, seed=3)
+    return [seen, least, often], words + 3 * places
+
+
 _RUNS = "least long, doc_id long, text_key long, start int, n int, hashes binary"
 
 
@@ -163,11 +176,13 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(table)
 
 
-def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, depth: int = 3, bits: int = 25) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, most_bits: int = 28) -> DataFrame:
     """(doc_id, text_key, runs): where, in words, windows that also start earlier begin, as (start, n)."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), _minimizers(window, gram), depth, bits, _OFTEN, flags=(2, _OFTEN)))
+    rows, entries = sketch_rows(byte_total(texts), window, gram, most_bits)
+    shared = spark.sparkContext.broadcast(flagged_cells(texts.select("text"), _counted(window, gram), rows, entries))
+    seen, least_seen, frequent = rows
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
@@ -176,11 +191,12 @@ def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, depth: in
             data, offsets = text_buffers(batch.column(2))
             found = []
             for a, b in row_groups(offsets, 1 << 20):
-                w = _Windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram, True)
+                w = _Windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram)
                 if len(w.hash):
-                    keep = np.flatnonzero(flagged(sketch[0], w.least, depth, bits))
+                    keep = np.flatnonzero(flagged(sketch, seen, w.hash))
+                    keep = keep[flagged(sketch, least_seen, w.least[keep])]
                     h, place, least = w.hash[keep], w.place[keep], w.least[keep]
-                    often = flagged(sketch[1], least, depth, bits)
+                    often = flagged(sketch, frequent, least)
                     place[often] = -1 - w.start[keep][often]  # a run of its own
                     least = np.where(often, _joined(least, h), least)
                     found.append((h, w.row[keep] + a, w.start[keep], place, least))
