@@ -83,15 +83,14 @@ def test_only_candidates_run_expressions():
 
 
 def plain_top_k(rows, k=5, every=50):
-    vectors = {}
+    vectors = []
     for i, e in rows:
         if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
-            v = [int(np.floor(256 * float(np.float32(x)))) for x in e]
-            vectors[i] = min(vectors.get(i, v), v, key=lambda v: np.array(v, "<i8").tobytes())
+            vectors.append((i, [int(np.floor(256 * float(np.float32(x)))) for x in e]))
     out = []
-    for q in vectors:
+    for own, (q, u) in enumerate(vectors):
         if q % every == 0:
-            found = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=False)), i) for i, v in vectors.items() if i != q)[:k]
+            found = sorted((-sum(a * b for a, b in zip(u, v, strict=False)), i) for at, (i, v) in enumerate(vectors) if at != own)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     return sorted(out)
 
@@ -100,21 +99,41 @@ def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
     same = rows[3][1]
-    rows += [(1000 + k, same) for k in range(60)] + [(2000, None), (2050, []), (2100, [1.0, None]), (2150, [float("nan")] * 8), (2200, [float("inf")] * 8), (None, same), (2250, [0.5, -0.5]), (50, rows[50][1])]
+    rows += [(1000 + k, same) for k in range(60)] + [(2000, None), (2050, []), (2100, [1.0, None]), (2150, [float("nan")] * 8), (2200, [float("inf")] * 8), (None, same), (2250, [0.5, -0.5])]
+    rows += [(50, rows[50][1]), (50, rows[51][1]), (100, same), (7, same), (7, same)]  # repeated ids, with equal and with other vectors
     df = spark.createDataFrame([(*r, "mine") for r in rows], "vec_id long, embedding array<float>, cell string").repartition(5)
     assert sorted(tuple(r) for r in knn.top_k(df).collect()) == plain_top_k(rows)
-    assert knn.top_k(df.limit(0)).count() == 0 and knn.top_k(df.where("vec_id IN (50, 1)")).count() == 1 and knn.top_k(df.where("vec_id = 50")).count() == 0
+    assert knn.top_k(df.limit(0)).count() == 0 and knn.top_k(df.where("vec_id IN (50, 1)")).count() == 3 * 3 and knn.top_k(df.where("vec_id = 150")).count() == 0
+    two = spark.createDataFrame([(50, [1.0]), (50, [2.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in knn.top_k(two).collect()) == [(50, 1, 50, 256 * 512)] * 2
 
 
-def test_top_k_of_clustered_vectors_with_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(knn, "_CELL_QUERIES", 2)
+def clustered(n, centres=12):
     rng = np.random.default_rng(1)
-    centres = rng.normal(size=(6, 8)) * 4
-    rows = [(i, (centres[i % 6] + rng.normal(size=8) * 0.2).astype(np.float32).tolist()) for i in range(1200)]
+    middle = rng.normal(size=(centres, 8)) * 4
+    return [(i, (middle[i % centres] + rng.normal(size=8) * 0.1).astype(np.float32).tolist()) for i in range(n)]
+
+
+def test_top_k_of_clustered_vectors_with_many_cells_and_blocks(spark, monkeypatch):
+    """Many cells, several blocks of queries and salts of data; the bounds exclude most of the rows."""
+    monkeypatch.setattr(knn, "BLOCK", 4)
+    monkeypatch.setattr(knn, "SALT_ROWS", 50)
+    monkeypatch.setattr(knn, "SAMPLE", 300)
+    monkeypatch.setattr(knn, "_COPY", 1)
+    rows = clustered(2400)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     assert sorted(tuple(r) for r in knn.top_k(df).collect()) == plain_top_k(rows)
 
 
+def test_cells_follow_the_vectors():
+    """Clusters get many cells that exclude most rows; vectors without any get one cell, whatever the number of rows."""
+    x = np.floor(256 * np.array([e for _, e in clustered(2048)]))
+    pivots, share = knn.chosen_cells(x, 100_000, 5)
+    assert len(pivots) > 8 and share < 0.25
+    pivots, share = knn.chosen_cells(np.floor(256 * np.random.default_rng(0).normal(size=(2048, 64))), 100_000, 5)
+    assert len(pivots) == 1 and share == 1
+
+
 def test_pipeline(spark, data):
     """Each stage against a plain version on what the stage before it kept."""
     import corpus_pipeline

@@ -1,189 +1,221 @@
 """Exact top-k search by inner product: a Voronoi join of queries and data.
 
-Components become floor(256 * x). A bounded sample of vectors serves as pivots; queries and data belong to
-the cell of their nearest pivot. Summaries of the cells (pivot, radius, and a few real vectors each)
-give every query a score that k candidates reach, and every query cell G, with pivot p and radius R, the least
-of these, t. As q.x <= p.x + R|x| for each q in G, a data vector goes to G only if that reaches t;
-p.c + R|c| + r(|p| + R) rules out whole data cells with pivot c and radius r. Each (G, salt) is solved locally
-and the k best of each query are merged.
-
-Of equal vectors only the k + 1 with the smallest ids can be among the k best of a query, so others don't
-travel as data (they do as queries). Cells are dealt out by salt, so a cell with a third of all rows is
+Components become floor(256 * x). A bounded sample of rows (SAMPLE) serves three ends: its first vectors are pivots, its scores give
+every query a bound that k + 1 rows reach, and it tells how much a number of cells would exclude. Queries
+and data belong to the cell of their nearest pivot. Summaries of the cells (their radius) bound the scores: with t, the least bound of
+a query cell of pivot p and radius R, a data vector x goes there only if p.x + R|x| reaches t, and
+p.c + R|c| + r(|p| + R) rules out a whole data cell of pivot c and radius r. Each (query cell, block of queries, salt of data)
+is solved locally, at most BLOCK queries and about SALT_ROWS rows at once, and the best of each query are merged.
+
+The number of cells is the one with the least estimated work, copies of data and pairs together: vectors in clusters get many
+cells, of which each row reaches a few; where bounds exclude nothing one cell does all, since copies would only add work.
+A query is copied once for each salt of its cell, a row once for each block of the cells it reaches.
+
+Of equal vectors only the k + 1 with the smallest ids can be among the k + 1 best of a query, so others don't
+travel as data, and equal queries are solved once. Cells are dealt out by block and salt, so a cell with a third of all rows is
 solved by many tasks.
 
-Rows: vectors that are null or hold null or non-finite components, and rows with a null vec_id, take no part. Rows of
-one vec_id are one vector, the smallest. A shorter vector counts as filled up with zeros. Scores must fit 64 bits.
+Rows: each row is a vector and a candidate of its own, also when its vec_id repeats; a query's own row is no candidate. Vectors that
+are null or hold null or non-finite components, and rows with a null vec_id, take no part. A shorter vector counts as filled
+up with zeros. Scores must fit 64 bits. An empty table, or one without queries, gives an empty one. Other columns play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavestrata.llm.store import partitions, written
+from wavestrata.llm.store import dropped, partitions, written
+from wavestrata.llm.textkit import tidy
 
 K, EVERY = 5, 50
-_CELL_QUERIES, _MOST_CELLS, _SHOWN, _SALT_ROWS = 256, 256, 8, 200_000
+SAMPLE, BLOCK, SALT_ROWS = 2048, 4096, 40_000
+_COPY = 200  # sending a row costs about as much as so many scores
+_RESULT = "query_id long, rank int, vec_id long, score long"
 
 
-def _matrix(raw: list[bytes]) -> np.ndarray:
-    width = max(map(len, raw), default=0)
-    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in raw), "<i8").reshape(len(raw), width // 8)
+def _matrix(raw: list[bytes], width: int) -> np.ndarray:
+    """One row of integers for each vector, filled up with zeros."""
+    return np.frombuffer(b"".join(x.ljust(8 * width, b"\0") for x in raw), "<i8").reshape(len(raw), width)
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): one row an id, v the little-endian 64-bit integers floor(256 * x)."""
+    """(row, vec_id, v): v are the little-endian 64-bit integers floor(256 * x), row a number of the row."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keep, rows = [], []
+            for i, x in enumerate(batch.column(2)):
                 if not x.is_valid or x.values.null_count:
                     continue
                 x = np.floor(256 * x.values.to_numpy(zero_copy_only=False).astype(np.float64))
                 if np.isfinite(x).all():
-                    ids.append(i)
+                    keep.append(i)
                     rows.append(x.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["vec_id", "v"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(rows, pa.binary())], ["row", "vec_id", "v"])
 
-    rows = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(convert, "vec_id long, v binary")
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.where("vec_id IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), "embedding")
+    return rows.mapInArrow(tidy(convert), "row long, vec_id long, v binary")
 
 
 def scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Integer inner products; by floating point where all sums are exact."""
-    n = min(queries.shape[1], data.shape[1])
-    q, x = queries[:, :n], data[:, :n]
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * n
-    return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if most < 2**53 else q @ x.T
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1]
+    return (queries.astype(np.float64) @ data.T.astype(np.float64)).astype(np.int64) if most < 2**53 else queries @ data.T
 
 
-def best(ids: np.ndarray, s: np.ndarray, data_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, data, score) of the k best of each query but itself; ties to the smaller id."""
-    for i, row in zip(ids.tolist(), s, strict=True):
-        other = np.flatnonzero(data_ids != i)
-        if len(other) > k:
-            found = row[other]
-            other = other[found >= np.partition(found, len(found) - k)[len(found) - k]]
-        order = other[np.lexsort((data_ids[other], -row[other]))][:k]
-        yield from zip([i] * len(order), data_ids[order].tolist(), row[order].tolist(), strict=True)
+def best(s: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """For each row of scores the places of the k best; ties to the smaller id, then the smaller row."""
+    for found in s:
+        at = np.flatnonzero(found >= np.partition(found, len(found) - k)[len(found) - k]) if len(found) > k else np.arange(len(found))
+        yield at[np.lexsort((rows[at], ids[at], -found[at]))][:k]
 
 
+@dataclass
 class Cells:
-    """Pivots, and what is known of the data around them."""
-
-    def __init__(self, pivots: np.ndarray):
-        self.pivots = pivots.astype(np.float64)
-        self.radius = np.zeros(len(pivots))
-        self.shown_ids, self.shown = np.zeros(0, np.int64), np.zeros((0, pivots.shape[1]), np.int64)
-
-    def fit(self, x: np.ndarray) -> np.ndarray:
-        """x with as many components as the pivots have; more components raise."""
-        if x.shape[1] > self.pivots.shape[1]:
-            raise ValueError("a vector is longer than all pivots")
-        return np.pad(x, ((0, 0), (0, self.pivots.shape[1] - x.shape[1])))
-
-    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = x.astype(np.float64)
-        square = (x * x).sum(1)[:, None] - 2 * x @ self.pivots.T + (self.pivots * self.pivots).sum(1)
-        cell = square.argmin(1)
-        return cell, np.linalg.norm(x - self.pivots[cell], axis=1)
-
-    def reached(self, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-        """For each query a score that k shown vectors other than itself reach, or -inf."""
-        if len(self.shown_ids) <= k:
-            return np.full(len(ids), -np.inf)
-        s = np.where(ids[:, None] == self.shown_ids, -np.inf, scores(q, self.shown).astype(np.float64))
-        return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    """Pivots, the radius of the data around them, and the query cells: their radius and least bound."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    asked: np.ndarray
+    asked_radius: np.ndarray
+    least: np.ndarray
+
+    def wanted(self) -> np.ndarray:
+        """[data cell, query cell]: whether the query cell may need anything of the data cell."""
+        centre = self.pivots[self.asked]
+        size = np.linalg.norm(centre, axis=1)
+        bound = self.pivots @ centre.T + self.asked_radius * np.linalg.norm(self.pivots, axis=1)[:, None] + self.radius[:, None] * (size + self.asked_radius)
+        return bound >= self.least - _slack(bound)
+
+    def reached(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """[vector, query cell]: whether the vector, of this cell, can reach the least bound of the query cell."""
+        most = x @ self.pivots[self.asked].T + self.asked_radius * np.linalg.norm(x, axis=1)[:, None]
+        return (most >= self.least - _slack(most)) & self.wanted()[cell]
+
+
+def _slack(x: np.ndarray) -> np.ndarray:
+    return 1e-6 * (1 + np.abs(x))
+
+
+def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each vector and its distance to the pivot."""
+    square = (x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)
+    cell = square.argmin(1)
+    return cell, np.linalg.norm(x - pivots[cell], axis=1)
+
+
+def bounds(q: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """For each query a score that k + 1 rows of the sample reach, itself perhaps included; -inf if the sample is smaller."""
+    if len(sample) <= k:
+        return np.full(len(q), -np.inf)
+    s = q @ sample.T
+    return np.partition(s, len(sample) - k - 1, axis=1)[:, len(sample) - k - 1]
+
+
+def chosen_cells(sample: np.ndarray, n_asked: int, k: int) -> tuple[np.ndarray, float]:
+    """Pivots, as many as make the least estimated work, and the share of (row, query cell) that they leave."""
+    distinct = sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])]
+    found, count = (np.inf, distinct[:1], 1.0), 1
+    reach = bounds(sample, sample, k)
+    while count <= max(1, len(distinct) // 4):
+        pivots = distinct[:count]
+        cell, far = nearest(sample, pivots)
+        asked = np.unique(cell)
+        of = np.searchsorted(asked, cell)
+        radius, least = np.zeros(len(asked)), np.full(len(asked), np.inf)
+        np.maximum.at(radius, of, far)
+        np.minimum.at(least, of, reach)
+        whole = np.zeros(count)
+        whole[asked] = radius
+        share = Cells(pivots, whole, asked, radius, least).reached(sample, cell).mean()
+        work = share * (_COPY * max(len(asked), n_asked / BLOCK) + n_asked)
+        if work < found[0]:
+            found = work, pivots, float(share)
+        count *= 2
+    return found[1:]
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose vec_id is divisible by every, against all rows."""
     spark = vectors.sparkSession
     table = written(quantized(vectors), "vectors")
-    result = "query_id long, rank int, vec_id long, score long"
-    by_size = Window.partitionBy("v").orderBy("vec_id")
-    data = table.withColumn("__n", F.row_number().over(by_size)).where(F.col("__n") <= k + 1).select("vec_id", "v")
-    asked = table.where(F.col("vec_id") % every == 0)
-    n_asked, n_rows = asked.count(), table.count()
+    is_asked = F.col("vec_id") % every == 0
+    n_asked, n_rows, widest = table.agg(F.count_if(is_asked), F.count("*"), F.max(F.octet_length("v"))).first()
     if not n_asked:
-        return spark.createDataFrame([], result)
-    widest = table.agg(F.max(F.octet_length("v"))).first()[0]
-    sample = table.orderBy(F.xxhash64("v"), "vec_id").limit(min(_MOST_CELLS, -(-n_asked // _CELL_QUERIES)) * 4).collect()  # a bounded sample
-    pivots = np.unique(_matrix([bytes(r.v).ljust(widest, b"\0") for r in sample]), axis=0)
-    cells = Cells(pivots[: min(_MOST_CELLS, -(-n_asked // _CELL_QUERIES))])
-
-    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each batch's radius of each cell and its vectors nearest to the pivot."""
-        for batch in batches:
-            ids, x = batch.column(0).to_numpy(), cells.fit(_matrix(batch.column(1).to_pylist()))
-            cell, far = cells.nearest(x)
-            order = np.lexsort((ids, far, cell))
-            first = np.searchsorted(cell[order], cell[order])
-            near = order[np.arange(len(order)) - first < _SHOWN]
-            last = np.zeros(len(ids))
-            np.maximum.at(farthest := np.zeros(len(cells.pivots)), cell, far)
-            last = farthest[cell]
-            yield pa.RecordBatch.from_arrays([pa.array(cell[near]), pa.array(last[near]), pa.array(far[near]), pa.array(ids[near]), batch.column(1).take(pa.array(near))], ["cell", "radius", "far", "vec_id", "v"])
-
-    parts = data.mapInArrow(summary, "cell long, radius double, far double, vec_id long, v binary")
-    by_far = Window.partitionBy("cell").orderBy("far", "vec_id")
-    parts = parts.withColumn("n", F.row_number().over(by_far)).withColumn("radius", F.max("radius").over(Window.partitionBy("cell")))
-    shown = parts.where(F.col("n") <= _SHOWN).collect()  # _MOST_CELLS * _SHOWN rows at most
-    for r in shown:
-        cells.radius[r.cell] = r.radius
-    cells.shown_ids, cells.shown = np.array([r.vec_id for r in shown], np.int64), cells.fit(_matrix([bytes(r.v) for r in shown]))
+        return spark.createDataFrame([], _RESULT)
+    width = widest // 8
+    numbers = lambda column: _matrix(column.to_pylist(), width)
+    data = table.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "row"))).where(F.col("n") <= k + 1).select("row", "vec_id", "v")
+    data = written(data, "data")
+    distinct = written(table.where(is_asked).groupBy("v").agg(F.min("row").alias("query")), "distinct")
+    asking = written(table.where(is_asked).join(distinct, "v").select("query", F.col("vec_id").alias("query_id"), F.col("row").alias("own")), "asking")
+    sample = _matrix([bytes(r.v) for r in data.orderBy(F.xxhash64("row")).limit(SAMPLE).collect()], width).astype(np.float64)
+    pivots, share = chosen_cells(sample, n_asked, k)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, q = batch.column(0).to_numpy(), cells.fit(_matrix(batch.column(1).to_pylist()))
-            cell, far = cells.nearest(q)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(far), pa.array(cells.reached(ids, q, k)), *batch.columns], ["cell", "far", "reached", "query_id", "q"])
-
-    queries = written(asked.mapInArrow(ask, "cell long, far double, reached double, query_id long, q binary"), "queries")
-    groups = queries.groupBy("cell").agg(F.max("far").alias("far"), F.min("reached").alias("t")).collect()  # a row a cell
-    salts = max(1, -(-2 * partitions(spark) // len(groups)), -(-n_rows // _SALT_ROWS))
-    cell_of, radius, least = (np.array([r[c] for r in groups]) for c in range(3))
-    centre = cells.pivots[cell_of]
-    size = np.linalg.norm(centre, axis=1)
-    data_size = np.linalg.norm(cells.pivots, axis=1)
-    bound = cells.pivots @ centre.T + radius * data_size[:, None] + cells.radius[:, None] * (size + radius)
-    wanted = bound >= least - 1e-6 * (1 + np.abs(bound))  # [data cell, query cell]
+            q = numbers(batch.column(0)).astype(np.float64)
+            cell, far = nearest(q, pivots)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(far), pa.array(bounds(q, sample, k)), *batch.columns], ["cell", "far", "reach", "v", "query"])
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        radius = np.full(len(pivots), -1.0)
+        for batch in batches:
+            np.maximum.at(radius, *nearest(numbers(batch.column(0)).astype(np.float64), pivots))
+        used = np.flatnonzero(radius >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(radius[used])], ["cell", "radius"])
+
+    queries = written(distinct.select("v", "query").mapInArrow(tidy(ask), "cell long, far double, reach double, v binary, query long"), "queries")
+    groups = sorted(map(tuple, queries.groupBy("cell").agg(F.max("far"), F.min("reach"), F.count("*")).collect()))  # a row a cell
+    cells = Cells(pivots, np.zeros(len(pivots)), *(np.array(c) for c in list(zip(*groups, strict=True))[:3]))
+    for r in data.select("v").mapInArrow(tidy(around), "cell long, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():
+        cells.radius[r.cell] = r.radius
+    blocks = np.array([-(-g[3] // BLOCK) for g in groups])
+    salts = max(1, -(-2 * partitions(spark) // int(blocks.sum())), -(-int(share * n_rows) // SALT_ROWS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = cells.fit(_matrix(batch.column(1).to_pylist()))
-            cell, _ = cells.nearest(x)
-            x = x.astype(np.float64)
-            most = x @ centre.T + radius * np.linalg.norm(x, axis=1)[:, None]
-            for g in range(len(cell_of)):
-                to = np.flatnonzero(wanted[cell, g] & (most[:, g] >= least[g] - 1e-6 * (1 + np.abs(most[:, g]))))
-                if len(to):
-                    at = pa.array(to)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), cell_of[g])), batch.column(0).take(at), batch.column(1).take(at)], ["cell", "vec_id", "v"])
-
-    sent = data.mapInArrow(send, "cell long, vec_id long, v binary").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
-    dealt = queries.select("cell", "query_id", "q", "reached").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+            x = numbers(batch.column(2)).astype(np.float64)
+            reached = cells.reached(x, nearest(x, pivots)[0])
+            for g in np.flatnonzero(reached.any(0)).tolist():
+                few = batch.take(pa.array(np.flatnonzero(reached[:, g])))
+                for b in range(blocks[g]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(few.num_rows, cells.asked[g])), pa.array(np.full(few.num_rows, b)), *few.columns], ["cell", "block", "row", "vec_id", "v"])
+
+    sent = data.select("row", "vec_id", "v").mapInArrow(tidy(send), "cell long, block long, row long, vec_id long, v binary")
+    sent = sent.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+    block_of = F.element_at(F.create_map(*[F.lit(int(x)) for c, b in zip(cells.asked, blocks, strict=True) for x in (c, b)]), F.col("cell").cast("int"))
+    dealt = queries.select("cell", F.pmod(F.xxhash64("query"), block_of).alias("block"), "query", "v", "reach")
+    dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
+        out = []
         if left.num_rows and right.num_rows:
-            ids, data_ids = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
-            q, x = _matrix(left["q"].to_pylist()), _matrix(right["v"].to_pylist())
-            for a in range(0, len(ids), 256):
-                rows += best(ids[a : a + 256], scores(q[a : a + 256], x), data_ids, k)
-            least_of = dict(zip(ids.tolist(), left["reached"].to_pylist(), strict=True))
-            rows = [r for r in rows if r[2] >= least_of[r[0]]]  # k shown vectors reach that already
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    found = dealt.groupBy("cell", "salt").cogroup(sent.groupBy("cell", "salt")).applyInArrow(solve, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            query, reach, ids, rows = left["query"].to_numpy(), left["reach"].to_numpy(), right["vec_id"].to_numpy(), right["row"].to_numpy()
+            x = numbers(right["v"])
+            for a in range(0, len(query), 128):
+                s = scores(numbers(left["v"].slice(a, 128)), x)
+                for i, at in enumerate(best(s, ids, rows, k + 1), a):
+                    at = at[s[i - a, at] >= reach[i]]  # k + 1 rows of the sample reach that already
+                    out.append((np.full(len(at), query[i]), rows[at], ids[at], s[i - a, at]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query", "row", "vec_id", "score"])
+
+    keys = ("cell", "block", "salt")
+    found = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(solve, "query long, row long, vec_id long, score long")
+    by_score = [F.desc("score"), "vec_id", "row"]
+    lists = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*by_score))).where(F.col("n") <= k + 1).drop("n")
+    lists = written(lists, "lists")
+    dropped(distinct, queries, data, table)
+    own = lists.join(asking, "query").where("row <> own").withColumn("rank", F.row_number().over(Window.partitionBy("own").orderBy(*by_score)))
+    return own.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,11 +224,11 @@ def op10_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
