@@ -47,21 +47,24 @@ def _with_least(links: DataFrame, node: str, least: DataFrame) -> DataFrame:
     return links.join(written(least, "least").withColumnRenamed("node", node), node)
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 20)))).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether every node with a link has one only, to a node without any."""
+    end = lambda c, leads: F.struct(F.col(c).alias("node"), F.lit(leads).alias("leads"), F.lit(not leads).alias("led"))
+    nodes = links.select(F.inline(F.array(end("a", True), end("b", False)))).groupBy("node").agg(F.count_if("leads").alias("n"), F.bool_or("led").alias("led"))
+    return not nodes.agg(F.count_if((F.col("n") > 1) | ((F.col("n") == 1) & F.col("led")))).first()[0]
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link, component being its least node.
 
     links has columns a and b; none may be null. Without links the result is empty. Each round computes the least neighbour of each node with map-side
-    aggregation and writes the new links to the shared folder. The number of rounds grows with the logarithm of the longest path.
+    aggregation and writes the new links to the shared folder, until all links lead straight to the least nodes. The number of rounds
+    grows with the logarithm of the longest path.
     """
     given = written(links.select("a", "b").where("a <> b"), "given")  # so that no task needs Python workers for two steps at once
     links = written(given.mapInArrow(_contract, "a long, b long").distinct(), "links")
     dropped(given)
-    state = _state(links)
-    while state[0]:
+    while not _settled(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
         least = least.select("node", F.least("node", "least").alias("least"))
@@ -72,8 +75,5 @@ def components(links: DataFrame) -> DataFrame:
         small = linked.select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
         old, links = links, written(small, "links")
         dropped(old, large)
-        before, state = state, _state(links)
-        if state == before:
-            break
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
