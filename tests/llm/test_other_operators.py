@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
 
+from tests.llm import tricky
 from tests.llm.test_text_operators import plain_components, plain_dedup
 from wavestrata.llm import chat, knn, mixing, packing, quality, url_filter
 
@@ -49,6 +51,17 @@ def test_chat(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_of_long_texts_and_many_turns(spark):
+    long = "[INST] word </s> " * 40_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), *((2, k, ("user", "assistant")[k % 2], f"turn {k} <|end|>") for k in range(120))]
+    got = {r.conv_id: r for r in chat.summarize(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))).collect()}
+    for c in (1, 2):
+        turns = [r for r in rows if r[0] == c]
+        loss = "".join(t for _, _, r, t in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), digest("".join(f"{r}\n{t}\n" for _, _, r, t in turns)))
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), digest(loss))
+
+
 def test_chat_on_the_tables(spark, data):
     got = {r.conv_id: r for r in chat.op4_chat_formatting(spark, data).collect()}
     convs = collections.defaultdict(list)
@@ -75,6 +88,15 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in wild.collect()}[0] == "allow"
 
 
+def test_urls_with_ties_and_long_ones(spark):
+    """Of rules of one length the one with the longer host wins, then the earlier one; a url of a megabyte is judged whole."""
+    rules = [("block", "a.org/x/"), ("allow", "org/x/abc/"), ("block", "a.org/x/y/"), ("allow", "a.org/x/y/"), ("block", "long.net/end/")]
+    far = "http://long.net/end/" + "p/" * 500_000
+    df = spark.createDataFrame([(1, "http://a.org/x/y/z"), (2, "http://a.org/x/abc/"), (3, far), (4, "http://" + "s." * 100_000 + "long.net/end/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict, len(r.host), len(r.path)) for r in url_filter.filter_urls(df, rules).collect()}
+    assert got == {1: ("a.org/x/y/", "block", 5, 6), 2: ("org/x/abc/", "allow", 5, 7), 3: ("long.net/end/", "block", 8, 1_000_005), 4: ("long.net/end/", "block", 200_008, 5)}
+
+
 def test_only_candidates_run_expressions():
     rules = [url_filter.Rule("block", f"site{k}.com/a/") for k in range(50)]
     index = url_filter.RuleIndex(rules, {".com": 1000, "/a": 500})
@@ -172,6 +194,43 @@ def test_pipeline(spark, data):
     assert collections.Counter((r.doc_id, r.piece, r.ids_crc32) for r in run.collect()) == collections.Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed.collect())
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_tricky_tables(spark, tmp_path, empty):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through all stages; each keeps what it should."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rows = [] if empty else tricky.documents()
+    docs = spark.createDataFrame(rows, tricky.SCHEMA).repartition(4)
+    for name in ("score", "predicted", "n_removed", "copy", "key", "length"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    labels = [(r[0], int(not (r[1] or "").startswith("again"))) for r in rows if r[0] is not None and r[0] < 200] + [(None, 1), (7, None)]
+    spark.createDataFrame([] if empty else labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        got = docs.collect()
+        kept.append((name, got))
+        if name != "packing":
+            assert docs.columns == corpus_pipeline.COLUMNS
+            docs = spark.createDataFrame(got, tricky.SCHEMA).repartition(3)
+    if empty:
+        assert not any(got for _, got in kept)
+        return
+    (_, good), (_, single), (_, cut), (_, mixed), (_, packed) = kept
+    assert set(map(tuple, good)) <= set(rows) and len(good) > 5
+    plain = plain_components([tuple(r) for r in good], 5, 80, 100)
+    assert collections.Counter(r.doc_id for r in single if r.doc_id is not None) == collections.Counter({c for _, _, c in plain if c is not None})
+    assert sum(r.doc_id is None for r in single) == sum(r.doc_id is None for r in good)
+    expected = plain_dedup([tuple(r) for r in single], 20)
+    assert collections.Counter((r.doc_id, digest(" ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")))) for r in cut) == collections.Counter({(i, h): n for (i, _, _, h), n in expected.items()})
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in cut}
+    tokens = collections.Counter()
+    for r in packed:
+        tokens[r.sequence_id] += r.length
+    assert max(tokens.values()) <= 2048 and {r.doc_id for r in packed} == {r.doc_id for r in mixed}
+
+
 @pytest.mark.parametrize("name", ["op2_ngram_jaccard", "op3_url_filters", "op4_chat_formatting", "op7_substring_dedup", "op9_poisson_mixing", "op10_voronoi_top_k"])
 def test_oracles(spark, data, name):
     from wavestrata.llm import queries

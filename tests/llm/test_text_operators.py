@@ -82,6 +82,43 @@ def test_fingerprints(docs, none, rows):
     assert fingerprint.fingerprints_with_edits(none).count() == 0
 
 
+def plain_digest(text):
+    """The digest by a loop over places: 256 buckets of three triplets a place, quartile codes, ratios and length."""
+    data, count = text.encode(), [0] * 256
+    for k, triplet in enumerate(((0, 1, 2), (0, 1, 3), (0, 2, 3))):
+        for at in range(len(data) - triplet[2]):
+            h = (k + 1) * 0x27D4EB2F
+            for place, factor in zip(triplet, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=True):
+                h += data[at + place] * factor
+            h &= 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+            count[h >> 24] += 1
+    q1, q2, q3 = (sorted(count)[k] for k in (63, 127, 191))
+    codes = [(c > q1) + (c > q2) + (c > q3) for c in count]
+    body = bytes(codes[k] << 6 | codes[k + 1] << 4 | codes[k + 2] << 2 | codes[k + 3] for k in range(0, 256, 4))
+    return f"{min(255, round(math.log(1 + len(data)) / math.log(1.1))):02x}{q1 * 15 // max(1, q3):x}{q2 * 15 // max(1, q3):x}{body.hex()}", codes
+
+
+def plain_likeness(x, y):
+    (a, u), (b, v) = x, y
+    body = sum((0, 1, 2, 6)[abs(i - j)] for i, j in zip(u, v, strict=True))
+    head = min(2 * abs(int(a[:2], 16) - int(b[:2], 16)), 24) + min(abs(int(a[2], 16) - int(b[2], 16)) + abs(int(a[3], 16) - int(b[3], 16)), 12)
+    return 1 - min(1, (body + head) / (min(416, 6 * (sum(i > 0 for i in u) + sum(j > 0 for j in v))) + 36))
+
+
+def test_fingerprints_equal_a_loop_over_triplets(spark, rows):
+    few = [(k, t) for k, (_, t, *_) in enumerate(rows) if len(t or "") < 3000] + [(900, "abc"), (901, "ab"), (902, "é"), (903, "abcd" * 50)]
+    texts = {k: t or "" for k, t in few}
+    order = sorted(texts, reverse=True)
+    following = dict(zip(order, order[1:] + order[:1], strict=True))
+    for r in fingerprint.fingerprints_with_edits(spark.createDataFrame(few, "doc_id long, text string")).collect():
+        t, u = texts[r.doc_id], texts[following[r.doc_id]]
+        edited = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
+        own, new, then = plain_digest(t), plain_digest(edited), plain_digest(u)
+        assert (r.fingerprint, r.edited_fingerprint) == (own[0], new[0]), r.doc_id
+        assert abs(r.near_edited - plain_likeness(own, new)) < 1e-12 and abs(r.near_next - plain_likeness(own, then)) < 1e-12
+
+
 def test_one_document_follows_itself(spark):
     row = fingerprint.fingerprints_with_edits(spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")).first()
     assert row.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and row.near_next == 1

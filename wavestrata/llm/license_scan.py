@@ -15,7 +15,8 @@ verified by the exact share of the template's shingles in the window.
 Templates are a parameter and travel with the tasks; documents are scanned whole where they lie, without any shuffle.
 
 Rows: a null text is empty; texts without words match nothing; repeated rows get equal results; one row a document and
-template matched, from the window with the greatest share (the first of equals).
+template matched, from the window with the greatest share (the first of equals). Other columns of the documents, whatever
+their names, play no part. An empty table, or no templates, gives no rows.
 """
 
 from __future__ import annotations
