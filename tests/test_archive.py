@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -110,3 +112,121 @@ def test_opening_checks_the_folder(spark, archive, tmp_path):
     with pytest.raises(VersionMismatch):
         Archive.open(spark, str(tmp_path / "old"))
     assert set(archive.snapshot()) == {"recordings", "blobs", "frames"}
+
+
+def files_of(spark, folder, **chosen):
+    return probe.analysed(probe.probed(probe.read_files(spark, str(folder))), **chosen)
+
+
+def wav(folder, name, n, rate=48_000, seed=0):
+    x = np.random.default_rng(seed).integers(-3000, 3000, (n, 1))
+    (folder / name).mkdir(parents=True)
+    (folder / name / f"{name}.wav").write_bytes(formats.wav_file(x, rate))
+    return x
+
+
+def test_ids_of_deleted_recordings_are_not_given_again(spark, tmp_path):
+    a, b, c = (wav(tmp_path / "files", name, n, seed=n) for name, n in (("a", 9000), ("b", 12_000), ("c", 12_000 + 500)))
+    own = Archive.create(spark, str(tmp_path / "x"))
+    own.import_files(files_of(spark, tmp_path / "files" / "a"))
+    own.import_files(files_of(spark, tmp_path / "files" / "b"))
+    own.delete(1)
+    assert [r.rec_id for r in own.import_files(files_of(spark, tmp_path / "files" / "c")).collect()] == [2]
+    assert list(own) == [0, 2] and (own.segment(2, 11_990, 14_000) == c[11_990:]).all() and (own.segment(0, 0, 20_000) == a).all()
+    own.delete(2)
+    own.vacuum()
+    assert [r.rec_id for r in own.import_files(files_of(spark, tmp_path / "files" / "b")).collect()] == [3] and (own.segment(3, 0, 20_000) == b).all()
+
+
+def test_an_import_that_fails_leaves_nothing_to_be_seen(spark, tmp_path, monkeypatch):
+    a, b = wav(tmp_path / "files", "a", 5000), wav(tmp_path / "files", "b", 6000, seed=1)
+    own = Archive.create(spark, str(tmp_path / "x"))
+    with monkeypatch.context() as patch:
+        patch.setattr("wavestrata.sources.archive.built_frames", lambda *_: 1 / 0)  # after the bytes are written
+        with pytest.raises(ZeroDivisionError):
+            own.import_files(files_of(spark, tmp_path / "files" / "a"))
+    assert own.table("blobs").count() > 0 and len(own) == own.blobs.count() == 0
+    assert [r.rec_id for r in own.import_files(files_of(spark, tmp_path / "files" / "b")).collect()] == [1]
+    assert (own.segment(1, 0, 9999) == b).all() and own.blobs.where("rec_id = 0").count() == 0
+    own.vacuum()
+    assert own.table("blobs").where("rec_id = 0").count() == 0
+    assert own.import_files(files_of(spark, tmp_path / "files" / "a")).first().rec_id == 2 and (own.segment(2, 0, 9999) == a).all()
+
+
+def test_two_imports_get_different_ids(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    own = Archive.create(spark, str(tmp_path / "x"))
+    with ThreadPoolExecutor(4) as pool:
+        firsts = list(pool.map(own._claimed, [3, 2, 5, 1]))
+    got = sorted(x for first, n in zip(firsts, [3, 2, 5, 1], strict=True) for x in range(first, first + n))
+    assert got == list(range(11))
+
+
+def test_a_replacement_that_broke_off_is_ended(spark, archive, tmp_path):
+    own = Archive.create(spark, str(tmp_path / "y"))
+    own.import_files(files_of(spark, archive.files / "a_mono.wav"))
+    (tmp_path / "y" / "recordings").rename(tmp_path / "y" / "recordings.old")
+    assert len(Archive.open(spark, str(tmp_path / "y"))) == 1
+    own.recordings.write.parquet(str(tmp_path / "y" / "recordings.new"))
+    (tmp_path / "y" / "recordings").rename(tmp_path / "y" / "recordings.old")
+    assert len(Archive.open(spark, str(tmp_path / "y"))) == 1
+
+
+def test_integer_pcm_becomes_flac(archive, signals):
+    row, kept = archive[0], archive[2]
+    assert (row.codec, row.copy_mode, row.n_samples, kept.copy_mode) == ("flac", False, 20_000, True)
+    whole = b"".join(r.payload for r in archive.blobs.where("rec_id = 0").orderBy("chunk_no").collect())
+    frames = formats.flac_frames(whole)
+    assert (formats.flac_decode(whole[frames[0, 0] :], 16) == signals["mono"]).all()
+
+
+@pytest.mark.parametrize(("transform", "n", "factor"), [("resampling", 6000, 1.0), ("reinterpreting", 12_000, 2.0)])
+def test_transforms_change_rate_or_meaning(spark, tmp_path, transform, n, factor):
+    from pyspark.sql import functions as F
+
+    x = wav(tmp_path / "files", "a", 12_000)
+    chosen = {"sample_rate": F.lit(24_000), "transform": F.lit(transform), "transform_rate": F.lit(24_000)}
+    own = Archive.create(spark, str(tmp_path / "x"))
+    row = own.import_files(files_of(spark, tmp_path / "files", **chosen)).first()
+    got = own[0]
+    assert (row.target_transform, row.target_sample_rate, row.copy_mode_used) == (transform, 24_000, False)
+    assert (got.sample_rate, got.n_samples, got.sampling_rescale_factor) == (24_000, n, factor)
+    y = own.segment(0, 0, n)
+    assert len(y) == n and (transform == "resampling" or (y == x).all())
+    if transform == "resampling":  # a low tone stays what it is
+        assert abs(y.mean() - x.mean()) < 20
+
+
+def test_a_stream_that_is_not_there_cannot_be_imported(spark, archive):
+    from pyspark.sql import functions as F
+
+    files = probe.probed(probe.read_files(spark, str(archive.files / "a_mono.wav")))
+    chosen = [probe.analysed(files, selected=F.array(F.lit(k))).first() for k in (0, 3)]
+    assert [r.can_be_imported for r in chosen] == [True, False] and chosen[0].stream["index"] == 0 and chosen[1].stream is None
+
+
+def test_a_codec_can_be_registered(spark, archive, monkeypatch):
+    from wavestrata.sources import codecs
+
+    monkeypatch.setitem(codecs.CODECS, "aac", codecs.Codec(codecs.CODECS["aac"].frames, lambda data, *_: np.arange(1024 * len(formats.adts_frames(data)))[:, None]))
+    assert archive.segment(3, 1030, 1033)[:, 0].tolist() == [6, 7, 8, 9]
+
+
+def test_segments_name_recordings_and_chunks_in_their_scans(spark, archive):
+    ask = spark.createDataFrame([(0, 2, 100, 300)], "request_id long, rec_id long, start_sample long, end_sample long")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = archive.segments(ask)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [x for x in re.findall(r"FileScan parquet.*?ReadSchema: struct<[^\n]*", plan, re.S) if "payload" in x]
+    assert scans
+    for x in scans:
+        assert "EqualTo(rec_id,2)" in x and "GreaterThanOrEqual(chunk_no,0)" in x and "LessThanOrEqual(chunk_no,0)" in x
+
+
+def test_results_say_what_was_stored(spark, tmp_path):
+    wav(tmp_path / "files", "a", 4000)
+    (tmp_path / "files" / "b.aac").write_bytes(b"".join(formats.adts_frame(bytes([k % 251] * 300)) for k in range(20)))
+    rows = Archive.create(spark, str(tmp_path / "x")).import_files(files_of(spark, tmp_path / "files")).collect()
+    assert [(r.input_no, r.target_format, r.copy_mode_used) for r in rows] == [(0, "flac", False), (1, "aac", True)]
+    assert all(abs(r.compression_ratio - r.original_size_bytes / r.compressed_size_bytes) < 1e-9 for r in rows)

@@ -72,3 +72,31 @@ def test_ogg():
     assert (s.codec, s.channels, s.sample_rate, s.n_samples, s.tags) == ("opus", 1 + 1, 44_100, 1608, {"SITE": "nord"})
     with pytest.raises(OggFormatError):
         formats.ogg_pages(data + b"z" * 2000)
+
+
+def test_flac_linear_prediction_and_speed():
+    """A frame whose subframe is predicted by weights, decoded sample by sample; a second of another one takes a fraction of it."""
+    import time
+
+    rng = np.random.default_rng(3)
+    x = np.cumsum(np.cumsum(rng.integers(-9, 10, 192))).clip(-30000, 30000)
+    weights, shift = [7, -3], 2  # sum of weights * samples before, newest first, shifted
+    e = [int(x[k]) - (int(weights[0] * x[k - 1] + weights[1] * x[k - 2]) >> shift) for k in range(2, 192)]
+    put = lambda v, n: format(v & (1 << n) - 1, f"0{n}b")
+    fold = [(v << 1) ^ (v >> 63) for v in e]
+    low = 8
+    bits = put(33 << 1, 8) + put(int(x[0]), 16) + put(int(x[1]), 16) + put(4, 4) + put(shift, 5) + "".join(put(w, 5) for w in weights) + put(0, 2) + put(0, 4) + put(low, 4)
+    bits += "".join("0" * (v >> low) + "1" + put(v, low) for v in fold)
+    bits += "0" * (-len(bits) % 8)
+    head = bytes([0xFF, 0xF8, 0x10, 0x08, 0])
+    head += bytes([formats.crc8(head)])
+    frame = head + int(bits, 2).to_bytes(len(bits) // 8, "big")
+    frame += formats.crc16(frame).to_bytes(2, "big")
+    assert formats.flac_decode(frame * 2, 16)[:, 0].tolist() == x.tolist() * 2
+    with pytest.raises(ValueError, match="damaged"):
+        formats.flac_decode(frame[:-9], 16)
+    walk = (np.cumsum(rng.integers(-200, 200, (96_000, 1)), 0) % 40_000 - 20_000).astype(np.int64)
+    data = formats.flac_file(walk, 48_000)
+    began = time.time()
+    assert (formats.flac_decode(data[formats.flac_frames(data)[0, 0] :], 16) == walk).all()
+    assert time.time() - began < 2  # two seconds of sound

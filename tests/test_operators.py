@@ -46,7 +46,7 @@ def test_trim(spark):
 def test_latest_at(spark):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 10), (3, "b", 1), (4, "a", 0)], "i int, k string, t int")
     right = spark.createDataFrame([("a", 5, 1.5), ("a", 7, None), ("b", 2, 9.0)], "k string, s int, v double")
-    assert {r.i: r.v for r in lookup.latest_at(left, right, "k", "t", "s", "v").collect()} == {1: 1.5, 2: None, 3: None, 4: None}
+    assert {r.i: r.v for r in lookup.latest_at(left, right, "k", "t", "s", "v", 3).collect()} == {1: 1.5, 2: None, 3: None, 4: None}
 
 
 def test_index(spark):
@@ -148,3 +148,28 @@ def test_settings():
 def test_time_axis_has_no_gaps(spark, data):
     rows = tumbling(spark.read.parquet(f"{data}/events.parquet"), "3 seconds").select("start").distinct().collect()
     assert all((r.start - dt.datetime(2020, 1, 1)).total_seconds() % 3 == 0 for r in rows)
+
+
+def test_each_of_equal_requests_gets_a_row(spark):
+    frames = spark.createDataFrame([(1, k, 100 * k) for k in range(10)], "rec_id long, frame_no long, sample_pos long")
+    asks = spark.createDataFrame([(1, 150, 420)] * 3 + [(1, 0, 5)], "rec_id long, start_sample long, end_sample long")
+    got = sorted((r.start_sample, r.first_frame, r.last_frame) for r in lookup.frame_range(asks, frames).collect())
+    assert got == [(0, 0, 1), *[(150, 1, 5)] * 3]
+
+
+def test_latest_at_across_buckets_equals_a_plain_search(spark):
+    import random
+
+    rng = random.Random(4)
+    right = [(rng.randrange(3), rng.randrange(400), k) for k in range(150)]
+    left = [(k, rng.randrange(4), rng.choice([None, *range(-20, 450)])) for k in range(300)]
+    found = lookup.latest_at(spark.createDataFrame(left, "i int, k int, t int"), spark.createDataFrame(right, "k int, s int, v int"), "k", "t", "s", "v", 37)
+    best = lambda k, t: max(((s, v) for key, s, v in right if key == k and t is not None and s <= t), default=(0, None))[1]
+    assert {r.i: r.v for r in found.collect()} == {i: best(k, t) for i, k, t in left}
+
+
+def test_sequence_gaps(spark):
+    from wavestrata.operators import index
+
+    pages = spark.createDataFrame([(1, 10 * k, n) for k, n in enumerate([5, 6, 7, 9, 10])] + [(2, 0, 3)], "rec_id long, byte_offset long, page_no long")
+    assert [tuple(r) for r in index.sequence_gaps(pages).collect()] == [(1, 30, 8, 9)]

@@ -31,3 +31,7 @@ class CodecUnavailable(ArchiveError):
 
 class ImportBlocked(ArchiveError):
     """At least one file of a batch cannot be imported."""
+
+
+class ArchiveBusy(ArchiveError):
+    """Another import holds the lock under which ids are given."""

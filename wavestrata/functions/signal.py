@@ -34,6 +34,12 @@ def rms(x: Column) -> Column:
     return F.sqrt(F.avg(x * x))
 
 
+def match(a: Column, b: Column) -> dict[str, Column]:
+    """Aggregates of two signals: share of equal samples, number of others, largest and mean difference."""
+    apart = F.abs(a - b)
+    return {"match_rate": F.avg((a == b).cast("double")), "n_different": F.count_if(a != b), "max_diff": F.max(apart), "mean_diff": F.avg(apart)}
+
+
 def stft(samples: np.ndarray, size: int = 1024, hop: int = 512) -> np.ndarray:
     """Complex spectra (bins, frames) of Hann-windowed frames; the signal is centred by reflection."""
     padded = np.pad(samples.astype(np.float64), size // 2, mode="reflect" if len(samples) > size // 2 else "constant")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,10 +54,11 @@ def difference(left: DataFrame, right: DataFrame, key: str, values: tuple[str, .
     return both.select(key, status.alias("status")).where("status IS NOT NULL")
 
 
-def restored_order(results: DataFrame, number: str = "input_no") -> DataFrame:
-    return results.orderBy(number)
+def compression_ratio(original: Column, stored: Column) -> Column:
+    """original / stored, 0 where nothing is stored."""
+    return F.when(stored > 0, original / stored).otherwise(0.0)
 
 
-def latest_first(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    """The n rows of each key that come first in the order."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("__n") <= n).drop("__n")
+def batch_summary(results: DataFrame, by: str, loud: Column, copied: Column, recording: str) -> DataFrame:
+    """Per group: rows over a level, rows kept as they are, and distinct recordings."""
+    return results.groupBy(by).agg(F.count_if(loud).alias("loud"), F.count_if(copied).alias("copied"), F.countDistinct(recording).alias("n_recordings"))

@@ -56,6 +56,24 @@ def validated(frames: DataFrame, key: str = "rec_id", longest: int = AAC_LONGEST
     return sums.withColumn("valid", F.col("monotonic") & F.col("in_bounds") & F.col("sizes_ok"))
 
 
+def rising_count(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Per key, how many rows there are and how many exceed the one before: of page numbers or positions that should rise, all but the first."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
+    return rows.withColumn("__before", before).groupBy(key).agg(F.count("*").alias("frames"), F.count_if(F.col(value) > F.col("__before")).alias("louder"))
+
+
+def sequence_gaps(pages: DataFrame, key: str = "rec_id", number: str = "page_no", order: str = "byte_offset") -> DataFrame:
+    """(key, page, expected, found) of each page whose number is not one more than that of the page before; the first may have any."""
+    before = F.lag(number).over(Window.partitionBy(key).orderBy(order))
+    checked = pages.withColumn("expected", before + 1)
+    return checked.where(F.col(number) != F.col("expected")).select(key, F.col(order).alias("page"), "expected", F.col(number).alias("found"))
+
+
+def pattern_count(text: Column, pattern: str) -> Column:
+    """How many matches of the pattern, one after the other, a text or hex string has."""
+    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).cast("long")
+
+
 def adaptive_chunk(n: Column, preferred: int = 20_000, least: int = 5_000, most_chunks: int = 50, highest: int = 100_000) -> Column:
     """Index chunk length in frames for an index of n frames."""
     small = F.greatest(F.lit(preferred // 2), F.floor(n / 4).cast("long"))

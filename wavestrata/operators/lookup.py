@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_range: tuple[str, str], right_range: tuple[str, str], bucket: int) -> DataFrame:
@@ -21,22 +22,22 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, left_range: tuple[
     return both.where(F.col("__bucket") == first).drop("__bucket")
 
 
-def frame_range(requests: DataFrame, frames: DataFrame, ahead: int = 1, overlap: int = 0, frame: int | None = None) -> DataFrame:
+def frame_range(requests: DataFrame, frames: DataFrame, ahead: int = 1, overlap: int = 0, frame: int | None = None, bucket: int = 1 << 24) -> DataFrame:
     """First and last frame (s, e) of each request; both null if its recording has no frames or s > e.
 
     s is the frame that holds start (0 before all), e the one that holds end plus ahead, at most the
     last one; overlap moves s back. With frame, the samples of the last frame, start and end are
-    first cut to the recording. frame_no counts from 0 in the order of sample_pos, so one sorted stream
-    of frames and requests per recording answers all of them; no request is paired with frames.
+    first cut to the recording. frame_no counts from 0 in the order of sample_pos, so sorted streams
+    of frames and requests answer all of them; no request is paired with frames. Each row of requests gives one row, equal ones too.
     """
     size = frames.groupBy("rec_id").agg(F.count("*").alias("__n"), F.max("sample_pos").alias("__last"))
-    found = requests.join(size, "rec_id", "left")
+    found = requests.withColumn("__row", F.monotonically_increasing_id()).join(size, "rec_id", "left")
     a, b = F.col("start_sample"), F.col("end_sample")
     if frame is not None:
         a, b = F.greatest(a, F.lit(0)), F.least(b, F.col("__last") + frame - 1)
     found = found.withColumns({"__a": a, "__b": b})
     points = found.select("*", F.posexplode(F.array("__a", "__b")).alias("__which", "__at"))
-    held = latest_at(points, frames.select("rec_id", "sample_pos", "frame_no"), "rec_id", "__at", "sample_pos", "frame_no")
+    held = latest_at(points, frames.select("rec_id", "sample_pos", "frame_no"), "rec_id", "__at", "sample_pos", "frame_no", bucket)
     upto = lambda k: F.coalesce(F.max(F.when(F.col("__which") == k, F.col("frame_no") + 1)), F.lit(0))
     counted = held.groupBy(*found.columns).agg(upto(0).alias("__to_a"), upto(1).alias("__to_b"))
     first = F.greatest(F.lit(0), F.col("__to_a") - 1)
@@ -46,19 +47,34 @@ def frame_range(requests: DataFrame, frames: DataFrame, ahead: int = 1, overlap:
     return counted.select(*requests.columns, F.when(ok, moved).alias("first_frame"), F.when(ok, last).alias("last_frame"))
 
 
-def latest_at(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
+def latest_at(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value: str, bucket: float) -> DataFrame:
     """left with the right value of the greatest since <= at, null if there is none; the greatest value of equal ones.
 
-    Both sides are sorted once, in one stream per key; nothing is paired.
+    The axis (numbers, or times in seconds) is cut into buckets. Both sides are sorted once, in one stream for each key and bucket, so a
+    key with very many rows spreads over tasks; what a bucket lacks comes from the last row before it, one row a bucket.
+    A null at finds nothing.
     """
-    from pyspark.sql import Window
-
-    a = left.select("*", F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(False).alias("__has"))
-    b = right.select(F.col(key), F.col(since).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"), F.lit(True).alias("__has"))
+    def place(df: DataFrame, c: str) -> Column:
+        axis = F.col(c).cast("timestamp") if isinstance(df.schema[c].dataType, (T.TimestampNTZType, T.DateType)) else F.col(c)
+        return F.floor(axis.cast("double") / bucket)
+
+    kind = right.schema[value].dataType
+    a = left.where(F.col(at).isNotNull()).select("*", F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__v"), place(left, at).alias("__bucket"))
+    b = right.where(F.col(since).isNotNull()).select(F.col(key), F.col(since).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"), place(right, since).alias("__bucket"))
+    ends = b.groupBy(key, "__bucket").agg(F.max(F.struct("__t", "__v")).alias("__end"))
+    asked = a.select(key, "__bucket").distinct().withColumn("__end", F.lit(None).cast(ends.schema["__end"].dataType))
+    marks = ends.unionByName(asked).groupBy(key, "__bucket").agg(F.max("__end").alias("__end"))
+    earlier = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.select(key, "__bucket", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
     both = a.unionByName(b, allowMissingColumns=True)
-    before = Window.partitionBy(key).orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("__has"), F.struct(F.col("__v").alias("v"))), ignorenulls=True).over(before)
-    return both.withColumn("__found", last).where("__side = 1").select(*left.columns, F.col("__found.v").alias(value))
+    upto = Window.partitionBy(key, "__bucket").orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("__side") == 0, F.struct(F.col("__v").alias("v"))), ignorenulls=True).over(upto)
+    own = both.withColumn("__found", last).where("__side = 1")
+    marks = marks.withColumnsRenamed({key: "__key", "__bucket": "__of"})
+    joined = own.join(marks, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__bucket") == F.col("__of")), "left")
+    got = F.when(F.col("__found").isNotNull(), F.col("__found.v")).otherwise(F.col("__before.__v"))
+    nothing = left.where(F.col(at).isNull()).select("*", F.lit(None).cast(kind).alias(value))
+    return joined.select(*left.columns, got.alias(value)).unionByName(nothing)
 
 
 def trimmed(samples: Column, frame_start: Column, start: Column, end: Column) -> Column:
@@ -69,10 +85,15 @@ def trimmed(samples: Column, frame_start: Column, start: Column, end: Column) ->
     return F.when(off >= F.size(samples), F.slice(samples, 1, 0)).otherwise(F.slice(samples, (off + 1).cast("int"), need.cast("int")))
 
 
-def chunks_covering(requests: DataFrame, chunks: DataFrame, key: str = "rec_id") -> DataFrame:
-    """Chunks that hold a byte of [byte_from, byte_to) of each request; the bounds prune row groups of sorted tables."""
-    wanted = (F.col("byte_end") > F.col("byte_from")) & (F.col("byte_start") < F.col("byte_to"))
-    return requests.join(chunks, key).where(wanted)
+def chunks_covering(requests: DataFrame, chunks: DataFrame, key: str = "rec_id", size: str | int = 1 << 20) -> DataFrame:
+    """Chunks that hold a byte of [byte_from, byte_to) of each request, found by their numbers.
+
+    size is the bytes of a chunk (only the last of a content has fewer), a number or a column of requests. A request meets only the chunks it needs.
+    """
+    n = f"`{size}`" if isinstance(size, str) else str(size)
+    numbers = F.explode(F.expr(f"sequence(cast(greatest(byte_from, 0) div {n} as int), cast((byte_to - 1) div {n} as int))"))
+    wanted = requests.where("greatest(byte_from, 0) < byte_to").withColumn("chunk_no", numbers)
+    return wanted.join(chunks, [key, "chunk_no"]).where((F.col("byte_end") > F.col("byte_from")) & (F.col("byte_start") < F.col("byte_to")))
 
 
 def random_requests(recordings: DataFrame, per_recording: int, samples: int, seed: int = 12345) -> DataFrame:

@@ -6,11 +6,16 @@ or frames; documents and pages are byte streams; embeddings are channels.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavestrata.functions import metadata, rules, signal, values
 from wavestrata.operators import catalog, index, lookup
+from wavestrata.sources import codecs, formats, probe
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -182,8 +187,7 @@ def next_recording_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, len(regexp_extract_all(html, '(?s)th.{0,14}'))::BIGINT AS syncs, length(html) AS n_chars FROM pages")
 def sync_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.size(F.regexp_extract_all("html", F.lit("(?s)th.{0,14}"), F.lit(0)))
-    return table(spark, sf_dir, "pages").select("page_id", found.cast("long").alias("syncs"), F.char_length("html").cast("long").alias("n_chars"))
+    return table(spark, sf_dir, "pages").select("page_id", index.pattern_count(F.col("html"), "(?s)th.{0,14}").alias("syncs"), F.char_length("html").cast("long").alias("n_chars"))
 
 
 _NAMES = ["pcm_s16le", "FLAC", "mp3", "aac", "adpcm-ms", "g723_1", "opus", "wmalossless", "dst", "s302m", "dsd_lsbf", "other", "u8", "truehd", "acelp.kelvin", "dolby_e"]
@@ -376,11 +380,8 @@ def event_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, round(avg((a = b)::INT::DOUBLE), 6) AS match_rate, count(*) FILTER (a <> b) AS n_different, round(max(abs(a - b)), 6) AS max_diff, round(avg(abs(a - b)), 6) AS mean_diff FROM d GROUP BY user_id""")
 def sample_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir).select("user_id", F.col("value").alias("a"), F.when(F.col("pos") % 10 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    return rows.groupBy("user_id").agg(
-        F.round(F.avg((a == b).cast("double")), 6).alias("match_rate"), F.count_if(a != b).alias("n_different"),
-        F.round(F.max(F.abs(a - b)), 6).alias("max_diff"), F.round(F.avg(F.abs(a - b)), 6).alias("mean_diff"),
-    )
+    found = signal.match(F.col("a"), F.col("b"))
+    return rows.groupBy("user_id").agg(*[(c if k == "n_different" else F.round(c, 6)).alias(k) for k, c in found.items()])
 
 
 @query(f"WITH {FRAMES} SELECT rec_id, frame_no, sample_pos * 1000 // 44100 AS ms FROM frames")
@@ -401,7 +402,7 @@ def chunk_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     chunks = index.split_chunks(pages.select("page_id", "html"), "page_id", "html", 1024).drop("payload")
     asked = pages.select("page_id", (F.col("page_id") * 37 % 3000).alias("byte_from"), (F.col("page_id") * 37 % 3000 + 1500).alias("byte_to"))
-    found = lookup.chunks_covering(asked, chunks, "page_id")
+    found = lookup.chunks_covering(asked, chunks, "page_id", 1024)
     return found.groupBy("page_id").agg(F.count("*").alias("n_chunks"), F.min("chunk_no").alias("first_chunk"), F.max("chunk_no").alias("last_chunk"), F.sum(F.col("byte_end") - F.col("byte_start")).alias("bytes_read"))
 
 
@@ -409,18 +410,18 @@ def chunk_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asof_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), "o_orderdate")
     events = table(spark, sf_dir, "events").select("user_id", (F.col("ts") - F.expr("INTERVAL 9125 DAY")).alias("since"), "value")
-    return lookup.latest_at(orders, events, "user_id", "o_orderdate", "since", "value").select("o_orderkey", "value")
+    return lookup.latest_at(orders, events, "user_id", "o_orderdate", "since", "value", 30 * 86_400).select("o_orderkey", "value")
 
 
 @query("""SELECT event_type, count(*) FILTER (value >= 0.5 * 100) AS loud, count(*) FILTER (user_id % 2 = 0) AS copied, count(DISTINCT user_id) AS n_recordings FROM events GROUP BY event_type""")
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") >= 50).alias("loud"), F.count_if(F.col("user_id") % 2 == 0).alias("copied"), F.countDistinct("user_id").alias("n_recordings"))
+    return catalog.batch_summary(table(spark, sf_dir, "events"), "event_type", F.col("value") >= 50, F.col("user_id") % 2 == 0, "user_id")
 
 
 @query("""SELECT o_orderkey, CASE WHEN c > 0 THEN round(o_totalprice / c, 9) ELSE 0 END AS compression_ratio FROM (SELECT o_orderkey, o_totalprice, (o_orderkey % 5 * 1000)::DOUBLE AS c FROM orders)""")
 def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = (F.col("o_orderkey") % 5 * 1000).cast("double")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(c > 0, F.round(F.col("o_totalprice") / c, 9)).otherwise(0.0).alias("compression_ratio"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(catalog.compression_ratio(F.col("o_totalprice"), c), 9).alias("compression_ratio"))
 
 
 @query("""SELECT o_orderkey, printf('%02d:%02d:%02d.%02d', h // 360000, h // 6000 % 60, h // 100 % 60, h % 100) AS duration FROM (SELECT o_orderkey, floor(o_totalprice * 100)::BIGINT AS h FROM orders)""")
@@ -444,9 +445,7 @@ def frame_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, count(*) AS frames, count(*) FILTER (value > m) AS louder FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS m FROM events) GROUP BY user_id""")
 def sequence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts"))
-    rows = table(spark, sf_dir, "events").withColumn("before", before)
-    return rows.groupBy("user_id").agg(F.count("*").alias("frames"), F.count_if(F.col("value") > F.col("before")).alias("louder"))
+    return index.rising_count(table(spark, sf_dir, "events"), "user_id", "ts", "value")
 
 
 def _probe_report() -> F.Column:
@@ -489,3 +488,55 @@ def total_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.when(odd, F.lit("1/48000")).otherwise("1/1000")
     found = values.total_samples(F.when(odd, n).otherwise(1), base, F.lit(48_000), F.when(odd, F.lit(0.0)).otherwise((n + 0.5) / 48_000), F.lit(None).cast("double"))
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("n_samples"))
+
+
+def _little(n: F.Column) -> F.Column:
+    """A 32-bit number as the hex digits of its bytes, the lowest first."""
+    h = F.lpad(F.hex(n), 8, "0")
+    return F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
+
+
+@query("""SELECT page_id, 'pcm_s16le' AS codec, 2 AS channels, 8000 AS sample_rate, strlen(html) // 4 AS n_samples, 44::BIGINT AS payload_from, (strlen(html) // 4) / 8000 AS duration, 256000 AS bit_rate FROM pages""")
+def wav_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probe on WAV files whose samples are the bytes of pages."""
+    size = F.octet_length("html").cast("long")
+    head = F.concat(F.lit("52494646"), _little(size + 36), F.lit("57415645666d74201000000001000200401f0000007d00000400100064617461"), _little(size))
+    files = table(spark, sf_dir, "pages").select("page_id", F.concat(F.unhex(head), F.col("html").cast("binary")).alias("content"))
+    found = probe.probed(files)
+    s = F.col("streams")[0]
+    return found.select("page_id", s["codec_name"].alias("codec"), s["nb_channels"].alias("channels"), s["sample_rate"].alias("sample_rate"), s["nb_samples"].alias("n_samples"), "payload_from", "container.duration", s["bit_rate"].alias("bit_rate"))
+
+
+@query("""SELECT doc_id, k AS frame_no, 507 * k AS byte_offset, least(500, strlen(text) - 500 * k) + 7 AS frame_size, 1024 * k AS sample_pos FROM (SELECT doc_id, text, unnest(range(0, (strlen(text) + 499) // 500)) AS k FROM documents)""")
+def adts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame index of ADTS streams whose frames hold the bytes of documents."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
+                data = bytes(text or b"")
+                stream = b"".join(formats.adts_frame(data[k : k + 500]) for k in range(0, len(data), 500))
+                rows = codecs.frame_table(stream, "aac", 1, 0, 0)
+                yield pd.DataFrame({"doc_id": doc_id, "frame_no": range(len(rows)), "byte_offset": rows[:, 0], "frame_size": rows[:, 1], "sample_pos": rows[:, 2]})
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
+    return docs.mapInPandas(build, "doc_id long, frame_no long, byte_offset long, frame_size long, sample_pos long")
+
+
+@query("""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: trunc(x::DOUBLE * 8000)::BIGINT) AS x, vec_id % 50 AS a FROM embeddings)
+SELECT vec_id, len(y) AS n_samples, list_sum(y)::BIGINT AS total, list_sum(list_transform(range(1, len(y) + 1), lambda i: y[i] * i))::BIGINT AS weighted, (least(63, a + 20) // 16 - a // 16 + 1)::BIGINT AS frames_read
+FROM (SELECT vec_id, a, list_slice(x, a + 1, a + 21) AS y FROM s)""")
+def flac_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of FLAC files whose samples are embeddings: encode, index, decode the frames that hold the segment, trim."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for vec_id, x in zip(pdf.vec_id, pdf.embedding, strict=True):
+                samples = np.trunc(np.asarray(x, np.float64) * 8000).astype(np.int64)[:, None]
+                content = codecs.CODECS["flac"].encode(samples, 48_000, 24, 16)
+                y, hit = codecs.cut(content, "flac", 1, 24, vec_id % 50, vec_id % 50 + 20)
+                rows.append((vec_id, len(y), y.sum(), (y[:, 0] * np.arange(1, len(y) + 1)).sum(), len(hit)))
+            yield pd.DataFrame(rows, columns=["vec_id", "n_samples", "total", "weighted", "frames_read"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(read, "vec_id long, n_samples long, total long, weighted long, frames_read long")

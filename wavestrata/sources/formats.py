@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
+from operator import mul
 
 import numpy as np
 
@@ -252,44 +253,77 @@ def flac_frames(data: bytes) -> np.ndarray:
 
 
 class _Bits:
-    def __init__(self, data: bytes, at: int):
-        self.bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=at))
-        self.ones = np.flatnonzero(self.bits)
-        self.at = 0
+    """Bits of some bytes; numbers are cut out of the bytes, unary codes jump from one set bit to the next."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+        self.bits = np.unpackbits(np.frombuffer(data, np.uint8))
+        place = np.where(self.bits, np.arange(len(self.bits), dtype=np.int64), len(self.bits))
+        self.next_one = np.minimum.accumulate(place[::-1])[::-1].tolist()
 
     def take(self, n: int) -> int:
-        part = self.bits[self.at : self.at + n]
+        first, last = self.at >> 3, (self.at + n + 7) >> 3
+        if last > len(self.data):
+            raise IndexError("the data end within a frame")
         self.at += n
-        return int.from_bytes(np.packbits(np.concatenate([np.zeros(-n % 8, np.uint8), part])).tobytes(), "big") if n else 0
+        return int.from_bytes(self.data[first:last], "big") >> (last * 8 - self.at) & (1 << n) - 1
 
     def signed(self, n: int) -> int:
         v = self.take(n)
         return v - (1 << n) if n and v >> (n - 1) else v
 
     def unary(self) -> int:
-        one = int(self.ones[np.searchsorted(self.ones, self.at)])
+        one = self.next_one[self.at]
         n, self.at = one - self.at, one + 1
         return n
 
-
-def _residual(bits: _Bits, n: int, order: int) -> list[int]:
+    def rice(self, count: int, low: int) -> np.ndarray:
+        """count folded numbers, each a unary part and low bits."""
+        first, following, stops = self.at, self.next_one, [0] * count
+        at = first
+        for k in range(count):
+            stops[k] = stop = following[at]
+            at = stop + 1 + low
+        if at > len(self.bits):
+            raise IndexError("the data end within a frame")
+        self.at = at
+        stop = np.array(stops, np.int64)
+        v = np.diff(stop, prepend=first - 1 - low) - 1 - low
+        for k in range(low):
+            v = v << 1 | self.bits[stop + 1 + k]
+        return v >> 1 ^ -(v & 1)
+
+
+def _residual(bits: _Bits, n: int, order: int) -> np.ndarray:
     width = 4 + bits.take(2)
     parts = bits.take(4)
-    out: list[int] = []
+    out = []
     for k in range(1 << parts):
         count = (n >> parts) - (order if k == 0 else 0)
-        rice = bits.take(width)
-        if rice == (1 << width) - 1:
+        low = bits.take(width)
+        if low == (1 << width) - 1:
             size = bits.take(5)
-            out += [bits.signed(size) for _ in range(count)]
-            continue
-        for _ in range(count):
-            v = bits.unary() << rice | bits.take(rice)
-            out.append(v >> 1 ^ -(v & 1))
-    return out
+            out.append(np.array([bits.signed(size) for _ in range(count)], np.int64))
+        else:
+            out.append(bits.rice(count, low))
+    return np.concatenate(out)
+
 
+def _summed(first: list[int], residual: np.ndarray) -> np.ndarray:
+    """The samples whose differences of order len(first) are the residual."""
+    x, warm = residual, np.array(first, np.int64)
+    for order in reversed(range(len(first))):
+        x = np.diff(warm, order)[-1] + np.cumsum(x)
+    return np.concatenate([warm, x])
 
-_FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+
+def _predicted(first: list[int], residual: np.ndarray, weights: list[int], shift: int) -> np.ndarray:
+    """The samples that a linear prediction of the ones before, in integers, makes of the residual."""
+    out, last = list(first), len(weights)
+    weights = weights[::-1]
+    for k, e in enumerate(residual.tolist()):
+        out.append(e + (sum(map(mul, weights, out[k : k + last])) >> shift))
+    return np.array(out, np.int64)
 
 
 def _subframe(bits: _Bits, n: int, width: int) -> np.ndarray:
@@ -298,21 +332,21 @@ def _subframe(bits: _Bits, n: int, width: int) -> np.ndarray:
     wasted = bits.unary() + 1 if bits.take(1) else 0
     width -= wasted
     if kind == 0:
-        out = [bits.signed(width)] * n
+        out = np.full(n, bits.signed(width), np.int64)
     elif kind == 1:
-        out = [bits.signed(width) for _ in range(n)]
-    elif 8 <= kind <= 12 or kind >= 32:
-        order = kind - 8 if kind < 32 else kind - 31
-        out = [bits.signed(width) for _ in range(order)]
-        shift, weights = 0, list(_FIXED[order]) if kind < 32 else []
-        if kind >= 32:
-            precision, shift = bits.take(4) + 1, bits.signed(5)
-            weights = [bits.signed(precision) for _ in range(order)]
-        for e in _residual(bits, n, order):
-            out.append(e + (sum(w * out[-1 - i] for i, w in enumerate(weights)) >> shift))
+        out = np.array([bits.signed(width) for _ in range(n)], np.int64)
+    elif 8 <= kind <= 12:
+        first = [bits.signed(width) for _ in range(kind - 8)]
+        out = _summed(first, _residual(bits, n, kind - 8))
+    elif kind >= 32:
+        order = kind - 31
+        first = [bits.signed(width) for _ in range(order)]
+        precision, shift = bits.take(4) + 1, bits.signed(5)
+        weights = [bits.signed(precision) for _ in range(order)]
+        out = _predicted(first, _residual(bits, n, order), weights, shift)
     else:
         raise ValueError(f"reserved FLAC subframe type {kind}")
-    return np.array(out, np.int64) << wasted
+    return out << wasted
 
 
 def flac_decode(frames: bytes, bits: int) -> np.ndarray:
@@ -322,8 +356,16 @@ def flac_decode(frames: bytes, bits: int) -> np.ndarray:
         h = flac_header(frames, at, bits)
         if h is None:
             raise ValueError(f"no FLAC frame at byte {at}")
-        reader = _Bits(frames, at + h.size)
-        x = [_subframe(reader, h.block, h.bits + (1 if (h.mode, k) in ((8, 1), (9, 0), (10, 1)) else 0)) for k in range(h.channels)]
+        size = 64 + h.block * h.channels * (h.bits + 2) // 8
+        while True:
+            reader = _Bits(frames[at + h.size : at + h.size + size])
+            try:
+                x = [_subframe(reader, h.block, h.bits + (1 if (h.mode, k) in ((8, 1), (9, 0), (10, 1)) else 0)) for k in range(h.channels)]
+                break
+            except IndexError:
+                if at + h.size + size >= len(frames):
+                    raise ValueError(f"damaged FLAC frame at byte {at}") from None
+                size *= 2
         if h.mode == 8:
             x[1] = x[0] - x[1]
         elif h.mode == 9:

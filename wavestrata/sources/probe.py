@@ -23,34 +23,46 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
 
 
-def probed(files: DataFrame) -> DataFrame:
-    """files with sha256, container, streams, tags and probe_error; content stays."""
+_FOUND = f"container {CONTAINER}, streams array<{STREAM}>, tags map<string,string>, payload_from bigint, payload_to bigint, probe_error string"
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf.path, pdf.content, strict=True):
-                error, s = None, None
-                try:
-                    s = formats.parse(bytes(content))
-                except (ValueError, StopIteration, IndexError, formats.OggFormatError) as e:
-                    error = str(e) or type(e).__name__
-                if s is None:
-                    rows.append((path, {"format_name": None, "duration": None, "size": len(content), "nb_streams": 0}, [], {}, None, None, error))
-                    continue
-                seconds = s.n_samples / s.sample_rate if s.n_samples is not None and s.sample_rate else None
-                stream = {"index": 0, "nb_channels": s.channels, "sample_rate": s.sample_rate, "sample_format": s.sample_format, "codec_name": s.codec, "nb_samples": s.n_samples, "bit_rate": s.bit_rate}
-                rows.append((path, {"format_name": s.container, "duration": seconds, "size": len(content), "nb_streams": 1}, [stream], s.tags, *s.payload, error))
-            yield pd.DataFrame(rows, columns=["path", "container", "streams", "tags", "payload_from", "payload_to", "probe_error"])
-
-    schema = f"path string, container {CONTAINER}, streams array<{STREAM}>, tags map<string,string>, payload_from bigint, payload_to bigint, probe_error string"
-    found = files.select("path", "content").mapInPandas(parse, schema)
-    return files.withColumn("sha256", values.content_hash(F.col("content"))).join(found, "path")
+
+def probed(files: DataFrame) -> DataFrame:
+    """files with sha256, container, streams, tags, payload_from, payload_to and probe_error; content stays.
+
+    The content goes to Python once and is not joined back. Empty, damaged and unknown files have no stream; a null content is empty.
+    """
+
+    @F.pandas_udf(_FOUND)
+    def parse(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for content in contents:
+            data = b"" if content is None else bytes(content)
+            error, s = None, None
+            try:
+                s = formats.parse(data)
+            except (ValueError, StopIteration, IndexError, formats.OggFormatError) as e:
+                error = str(e) or type(e).__name__
+            if s is None:
+                rows.append(({"format_name": None, "duration": None, "size": len(data), "nb_streams": 0}, [], {}, None, None, error))
+                continue
+            seconds = s.n_samples / s.sample_rate if s.n_samples is not None and s.sample_rate else None
+            stream = {"index": 0, "nb_channels": s.channels, "sample_rate": s.sample_rate, "sample_format": s.sample_format, "codec_name": s.codec, "nb_samples": s.n_samples, "bit_rate": s.bit_rate}
+            rows.append(({"format_name": s.container, "duration": seconds, "size": len(data), "nb_streams": 1}, [stream], s.tags, *s.payload, error))
+        return pd.DataFrame(rows, columns=["container", "streams", "tags", "payload_from", "payload_to", "probe_error"]).astype({"payload_from": "Int64", "payload_to": "Int64"})
+
+    hashed = files.withColumns({"sha256": values.content_hash(F.col("content")), "__p": parse("content")})
+    return hashed.select("*", "__p.*").drop("__p")
 
 
 def analysed(files: DataFrame, selected: Column | None = None, wanted_code: Column | None = None, **chosen: Column) -> DataFrame:
-    """probed files with quality, target, conflicts and can_be_imported; chosen overrides fields of the target."""
-    first = F.try_element_at("streams", F.lit(1))
+    """probed files with stream, quality, target, conflicts and can_be_imported; chosen overrides fields of the target.
+
+    stream is the selected one (selected holds the indexes of a file's selected streams), the first if none is selected; it is the one that is judged and imported.
+    """
+    wanted = F.try_element_at(selected, F.lit(1)) if selected is not None else F.lit(None).cast("int")
+    of_index = F.filter("streams", lambda s: wanted.isNull() | (s["index"] == wanted))
+    files = files.withColumn("stream", F.try_element_at(of_index, F.lit(1)))
+    first = F.col("stream")
     channels, rate = values.or_default(first["nb_channels"], 1), values.or_default(first["sample_rate"], 48_000)
     quality = rules.source_quality(first["codec_name"], rate, first["bit_rate"], channels, first["sample_format"])
     rows = files.withColumn("quality", F.when(F.size("streams") > 0, quality))
