@@ -40,7 +40,7 @@ from wavestrata.llm.runs import run_starts, whole_runs
 from wavestrata.llm.store import dropped, partitions, small_batches, written
 from wavestrata.llm.textkit import U64, as_long, mix, row_groups, shingle_sets, tidy
 
-_RANGES, _MEMBERS, _HITS = 64, 1024, 1 << 20
+_RANGES, _MEMBERS, _HITS = 64, 1024, 1 << 18
 _BUCKET = 1 << 20  # n-grams in a bucket, about
 _LOW = 5  # bytes of a hash beside its bucket
 _NO_ID = -(1 << 63)
