@@ -44,6 +44,7 @@ def test_file_reports(spark, tmp_path):
     got = {r.path[-6:]: r for r in probe.diagnosed(files).collect()}
     assert (got["a.flac"].frames, got["a.flac"].metadata_blocks, got["a.flac"].issues) == (3, 1, []) and got["b.flac"].issues and not got["/c.txt"].has_signature
     texts = {r.path[-6:]: r.report for r in probe.reports(probe.analysed(probe.probed(files))).collect()}
+    assert "stream 0    flac" in texts["a.flac"] and "48000 Hz" in texts["a.flac"] and "size        0.0 MB" in texts["a.flac"]
     assert "flac" in texts["a.flac"] and "importable  true" in texts["a.flac"] and "importable  false" in texts["/c.txt"]
 
 
@@ -62,3 +63,41 @@ def test_resampling_keeps_a_tone():
     y = signal.resampled(x, 48_000, 16_000)
     assert y.shape == (1600, 1) and np.allclose(y[:, 0], np.sin(2 * np.pi * 1000 * np.arange(1600) / 16_000), atol=1e-6)
     assert np.allclose(signal.resampled(y, 16_000, 48_000), x, atol=1e-6) and signal.resampled(x[:0], 48_000, 8000).shape == (0, 1)
+
+
+def test_reports_name_tags_and_conflicts(spark, tmp_path):
+    """Preferred tags come first; a source with a conflict says so."""
+    from pyspark.sql import functions as F
+
+    (tmp_path / "a.wav").write_bytes(formats.wav_file(np.arange(4000)[:, None], 8000))
+    files = probe.probed(probe.read_files(spark, str(tmp_path))).withColumn("tags", F.create_map(*map(F.lit, ("zeta", "1", "Title", "Owls", "album", "Night"))))
+    text = probe.reports(probe.analysed(files, sample_rate=F.lit(48_000))).first().report.split("\n")
+    tags = [x for x in text if x.startswith("tag ")]
+    assert [x.split()[1] for x in tags] == ["title:", "album:", "zeta:"] or [x.split()[1] for x in tags] == ["album:", "title:", "zeta:"]
+    assert any(x.startswith("! Sample rate of the source is 8000 Hz") for x in text)
+
+
+def test_chosen_settings_are_checked_and_conf_acts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from wavestrata.config import EngineConf
+
+    (tmp_path / "a.wav").write_bytes(formats.wav_file(np.arange(4000)[:, None], 64_000))
+    files = probe.probed(probe.read_files(spark, str(tmp_path)))
+    with pytest.raises(Exception, match="320000"):
+        probe.analysed(files, aac_bitrate=F.lit(5)).collect()
+    low = probe.analysed(files, conf=EngineConf(ultrasound_threshold_hz=50_000)).first()
+    assert low.quality.is_ultrasound and low.target.flac_compression_level == 6 and not probe.analysed(files).first().quality.is_ultrasound
+    assert probe.analysed(files, conf=EngineConf(flac_default_level=9)).first().target.flac_compression_level == 9
+
+
+def test_lists_of_codecs_and_rates(spark):
+    from pyspark.sql import functions as F
+
+    from wavestrata.functions import rules
+
+    df = spark.sql("SELECT array(struct('flac' AS codec_name, 48000 AS sample_rate), struct('aac' AS codec_name, 48000 AS sample_rate), struct('flac' AS codec_name, CAST(NULL AS INT) AS sample_rate)) AS s")
+    row = df.select(rules.present(F.col("s"), "codec_name").alias("c"), rules.present(F.col("s"), "sample_rate").alias("r"), rules.missing_codecs(rules.present(F.col("s"), "codec_name"), F.array(F.lit("flac"))).alias("m")).first()
+    assert (row.c, row.r, row.m) == (["aac", "flac"], [48_000], ["aac"])
+    rates = spark.createDataFrame([(1000, 2), (999_999, 2), (160_000, 1), (100_000, 1)], "b int, c int").select(rules.legacy_bitrate(F.col("b"), F.col("c"))).collect()
+    assert [r[0] for r in rates] == [32_000, 320_000, 128_000, 100_000]

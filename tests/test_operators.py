@@ -173,3 +173,13 @@ def test_sequence_gaps(spark):
 
     pages = spark.createDataFrame([(1, 10 * k, n) for k, n in enumerate([5, 6, 7, 9, 10])] + [(2, 0, 3)], "rec_id long, byte_offset long, page_no long")
     assert [tuple(r) for r in index.sequence_gaps(pages).collect()] == [(1, 30, 8, 9)]
+
+
+def test_clusters_are_those_of_the_nearest_centre(spark):
+    """Two groups far apart: k-means must find them, whatever it calls them."""
+    from wavestrata.functions import signal
+
+    rng = np.random.default_rng(6)
+    rows = [(k, (rng.normal(size=4) + (10 if k % 2 else -10)).tolist()) for k in range(80)]
+    got = {r.i: r.cluster for r in signal.clustered(spark.createDataFrame(rows, "i long, e array<double>"), "e").collect()}
+    assert len({got[k] for k in range(0, 80, 2)}) == len({got[k] for k in range(1, 80, 2)}) == 1 and got[0] != got[1]

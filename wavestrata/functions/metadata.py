@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wavestrata.functions import values
+
 CONTAINER = "format_name format_long_name duration size bit_rate probe_score start_time nb_streams nb_programs".split()
 _CONTAINER_TYPES = {"duration": "double", "start_time": "double", "size": "bigint", "bit_rate": "bigint", "probe_score": "int", "nb_streams": "int", "nb_programs": "int"}
 _SHARED = "index:string,codec_name:string,codec_long_name:string,codec_type:string,codec_tag_string:string,time_base:string,start_time:string,duration_ts:string,duration:string,bit_rate:string,nb_frames:string,disposition:map<string,int>,tags:map<string,string>"
@@ -73,12 +75,29 @@ def typed(text: Column, schema: str) -> Column:
     return F.from_json(text, schema, {"mode": "FAILFAST"})
 
 
-def report_text(row_name: Column, container: Column, quality: Column, target: Column, conflicts: Column, can: Column) -> Column:
-    """A few lines about a source for people to read."""
-    line = lambda label, value: F.concat(F.lit(f"{label:<12}"), F.coalesce(value.cast("string"), F.lit("-")))
+#: Tags that a report names first, and how many others it lists.
+FIRST_TAGS, MORE_TAGS = ("title", "artist", "album", "date", "comment", "encoder"), 20
+
+
+def report_text(row_name: Column, container: Column, quality: Column, target: Column, conflicts: Column, can: Column, streams: Column, tags: Column, copy: Column, error: Column) -> Column:
+    """A report about a source for people to read: container, streams, tags, settings, warnings and status."""
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    line = lambda label, value: F.concat(F.lit(f"{label:<12}"), text(value))
     listed = lambda mark, texts: F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.concat(F.lit(mark), t))
-    lines = F.array(
-        line("file", row_name), line("container", container["format_name"]), line("codec", quality["codec_name"]), line("quality", F.concat_ws(", ", quality["compression_type"], quality["quality_tier"])),
-        line("store as", F.concat_ws(" ", target["code"], target["sample_rate"].cast("string"), target["transform"])), line("bitrate", target["aac_bitrate"]), line("importable", can),
+    head = F.array(
+        line("file", row_name), line("container", container["format_name"]), line("size", values.size_text(container["size"])), line("duration", values.duration_text(container["duration"])),
+        line("codec", quality["codec_name"]), line("quality", F.concat_ws(", ", quality["compression_type"], quality["quality_tier"], F.when(quality["bitrate_class"] != "unknown", quality["bitrate_class"]))),
+    )
+    described = lambda s: F.concat_ws(", ", s["codec_name"], F.concat(s["nb_channels"].cast("string"), F.lit(" channels")), F.concat(s["sample_rate"].cast("string"), F.lit(" Hz")), s["sample_format"], values.bitrate_text(s["bit_rate"]))
+    each = F.transform(F.coalesce(streams, F.array()), lambda s: F.concat(F.lit("stream "), text(s["index"]), F.lit("    "), described(s)))
+    known = F.coalesce(tags, F.create_map().cast("map<string,string>"))
+    lower = F.transform(F.array_sort(F.map_entries(known)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    rank = lambda e: F.array_position(F.array(*map(F.lit, FIRST_TAGS)), e["key"])
+    named = F.concat(F.filter(lower, lambda e: rank(e) > 0), F.slice(F.filter(lower, lambda e: rank(e) == 0), 1, MORE_TAGS))
+    tag_lines = F.transform(named, lambda e: F.concat(F.lit("tag         "), e["key"], F.lit(": "), text(e["value"])))
+    settings = F.array(
+        line("store as", F.concat_ws(" ", target["code"], target["sample_rate"].cast("string"), target["transform"], target["transform_rate"].cast("string"))), line("bitrate", target["aac_bitrate"]),
+        line("level", target["flac_compression_level"]), line("copy", F.concat_ws(", ", copy["possible"].cast("string"), copy["reencoding"])), line("importable", can),
     )
-    return F.array_join(F.concat(lines, listed("! ", conflicts["blocking"]), listed("? ", conflicts["quality"]), listed("~ ", conflicts["efficiency"])), "\n")
+    failed = F.when(error.isNotNull(), F.array(F.concat(F.lit("! "), error))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(head, each, tag_lines, settings, failed, listed("! ", conflicts["blocking"]), listed("? ", conflicts["quality"]), listed("~ ", conflicts["efficiency"])), "\n")

@@ -40,8 +40,8 @@ def compression_class(codec: Column | str) -> Column:
     )
 
 
-def is_ultrasound(rate: Column | str) -> Column:
-    return F.coalesce(_named(rate), F.lit(44_100)) > ULTRASOUND_HZ
+def is_ultrasound(rate: Column | str, over: int = ULTRASOUND_HZ) -> Column:
+    return F.coalesce(_named(rate), F.lit(44_100)) > over
 
 
 def _graded(value: Column, limits: tuple[int, int, int]) -> Column:
@@ -55,17 +55,17 @@ def bitrate_class(bit_rate: Column | str, channels: Column | str) -> Column:
     return F.when(channels == 1, _graded(bit_rate, MONO_LIMITS)).when(channels == 2, _graded(bit_rate, STEREO_LIMITS)).otherwise(many)
 
 
-def quality_tier(compression: Column, rate: Column | str, grade: Column) -> Column:
+def quality_tier(compression: Column, rate: Column | str, grade: Column, ultrasound_hz: int = ULTRASOUND_HZ) -> Column:
     rate = F.coalesce(F.nullif(_named(rate), F.lit(0)), F.lit(44_100))
     return _case(
         F.lit("low"),
-        (is_ultrasound(rate), F.lit("ultrasound")),
+        (is_ultrasound(rate, ultrasound_hz), F.lit("ultrasound")),
         (compression.isin(RAW, LOSSLESS), F.when(rate >= 96_000, "studio").when(rate >= 48_000, "high").otherwise("standard")),
         (grade.isin("medium", "high", "excessive"), F.lit("standard")),
     )
 
 
-def source_quality(codec: Column | str, rate: Column | str, bit_rate: Column | str, channels: Column | str, sample_format: Column | None = None) -> Column:
+def source_quality(codec: Column | str, rate: Column | str, bit_rate: Column | str, channels: Column | str, sample_format: Column | None = None, ultrasound_hz: int = ULTRASOUND_HZ) -> Column:
     """The nine fields that suggestions and conflicts look at, as a struct."""
     kind = compression_class(codec)
     bit_rate = _named(bit_rate)
@@ -73,7 +73,7 @@ def source_quality(codec: Column | str, rate: Column | str, bit_rate: Column | s
     return F.struct(
         kind.alias("compression_type"), _named(codec).alias("codec_name"), _named(rate).cast("int").alias("sample_rate"), bit_rate.cast("int").alias("bit_rate"),
         _named(channels).cast("int").alias("channels"), (F.lit(None).cast("string") if sample_format is None else sample_format).alias("sample_format"),
-        grade.alias("bitrate_class"), quality_tier(kind, rate, grade).alias("quality_tier"), is_ultrasound(rate).alias("is_ultrasound"),
+        grade.alias("bitrate_class"), quality_tier(kind, rate, grade, ultrasound_hz).alias("quality_tier"), is_ultrasound(rate, ultrasound_hz).alias("is_ultrasound"),
     )
 
 
@@ -93,8 +93,9 @@ def _target(code: str, rate: Column | int | None, transform: str, transform_rate
     )
 
 
-def suggested_target(quality: Column, wanted_code: Column | None = None) -> Column:
+def suggested_target(quality: Column, wanted_code: Column | None = None, aac_bitrate: int = 160_000, flac_level: int = 4) -> Column:
     """Storage settings for a source; wanted_code is the code of a format already chosen, if any."""
+    loud = F.coalesce(quality.is_ultrasound, F.lit(False))
     wanted = F.lit(None).cast("string") if wanted_code is None else wanted_code
     rate, channels = F.coalesce(quality.sample_rate, F.lit(44_100)), F.coalesce(quality.channels, F.lit(2))
     kind, codec = quality.compression_type, F.lower(F.coalesce(quality.codec_name, F.lit("")))
@@ -102,14 +103,14 @@ def suggested_target(quality: Column, wanted_code: Column | None = None) -> Colu
     listed = lambda rates: F.when(rate.isin(*rates), rate)
     plain = kind.isin(RAW, LOSSLESS)
     return _case(
-        _target("aac", listed((44_100, 48_000)), "exactly", bitrate=F.when(channels == 2, 192_000).otherwise(160_000)),
-        ((codec == "aac") & (wanted == "aac"), _target("aac", listed(AAC_RATES), "exactly", bitrate=F.coalesce(F.nullif(quality.bit_rate, F.lit(0)), F.lit(160_000)), copy=True)),
-        ((rate > ULTRASOUND_HZ) & plain & (rate <= FLAC_HIGHEST_RATE), _target("flac", None, "exactly", level=6)),
-        ((rate > ULTRASOUND_HZ) & plain, _target("flac", 96_000, "reinterpreting", 96_000, level=6)),
-        (rate > ULTRASOUND_HZ, _target("aac", 32_000, "reinterpreting", 32_000, bitrate=192_000)),
+        _target("aac", listed((44_100, 48_000)), "exactly", bitrate=F.when(channels == 2, 192_000).otherwise(aac_bitrate)),
+        ((codec == "aac") & (wanted == "aac"), _target("aac", listed(AAC_RATES), "exactly", bitrate=F.coalesce(F.nullif(quality.bit_rate, F.lit(0)), F.lit(aac_bitrate)), copy=True)),
+        (loud & plain & (rate <= FLAC_HIGHEST_RATE), _target("flac", None, "exactly", level=6)),
+        (loud & plain, _target("flac", 96_000, "reinterpreting", 96_000, level=6)),
+        (loud, _target("aac", 32_000, "reinterpreting", 32_000, bitrate=192_000)),
         (kind == LOSSY, _target("aac", listed((44_100, 48_000)), "exactly", bitrate=raised_bitrate(known, channels))),
-        (plain & (codec == "flac") & (wanted == "flac"), _target("flac", listed(FLAC_RATES), "exactly", level=4, copy=True)),
-        (plain, _target("flac", listed((44_100, 48_000, 88_200, 96_000)), "exactly", level=4)),
+        (plain & (codec == "flac") & (wanted == "flac"), _target("flac", listed(FLAC_RATES), "exactly", level=flac_level, copy=True)),
+        (plain, _target("flac", listed((44_100, 48_000, 88_200, 96_000)), "exactly", level=flac_level)),
     )
 
 
@@ -147,7 +148,7 @@ def conflicts(quality: Column, target: Column) -> Column:
     moved, exact = target["transform"], F.coalesce(target["transform"] == "exactly", F.lit(False))
     bitrate = F.coalesce(target.aac_bitrate, F.lit(160_000))
     own_rate = F.coalesce(quality.bit_rate, F.lit(0))
-    loud = F.coalesce(quality.is_ultrasound, F.lit(False)) | (rate > ULTRASOUND_HZ)
+    loud = F.coalesce(quality.is_ultrasound, F.lit(False))
     plain = kind.isin(RAW, LOSSLESS) & aac & ~copy
     ratio = F.when(target["transform"] == "resampling", target.transform_rate / rate)
     many = aac & (channels > 2)
@@ -193,6 +194,28 @@ def same_shape(streams: Column) -> Column:
     return F.size(F.array_distinct(F.transform(streams, lambda s: F.struct(s["nb_samples"], s["sample_rate"])))) <= 1
 
 
+def copy_report(codec: Column, target: Column) -> Column:
+    """Whether the bytes can stay as they are, what that is good for, and what a new encoding would cost, as a struct."""
+    code = target["code"]
+    return F.struct(copy_possible(codec, code).alias("possible"), copy_benefits(codec, code).alias("benefits"), reencoding_severity(codec, code).alias("reencoding"))
+
+
+def legacy_bitrate(bit_rate: Column, channels: Column) -> Column:
+    """A wanted AAC bitrate between 32 and 320 kbit/s, at most 128 for mono."""
+    clamped = F.least(F.greatest(bit_rate, F.lit(32_000)), F.lit(320_000))
+    return F.when(channels == 1, F.least(clamped, F.lit(128_000))).otherwise(clamped)
+
+
+def present(streams: Column, field: str) -> Column:
+    """The distinct values that a field has over all streams, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(streams, lambda s: s[field]), lambda x: x.isNotNull())))
+
+
+def missing_codecs(codecs: Column, available: Column) -> Column:
+    """The codecs of a list that another one lacks."""
+    return F.array_except(codecs, available)
+
+
 def checked_bitrate(value: Column) -> Column:
     return F.when(value.isNull() | value.between(32_000, 320_000), value).otherwise(F.raise_error("aac_bitrate must be from 32000 to 320000").cast("int"))
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavestrata.config import EngineConf
 from wavestrata.functions import rules, values
 from wavestrata.sources import formats
 
@@ -54,20 +55,26 @@ def probed(files: DataFrame) -> DataFrame:
     return hashed.select("*", "__p.*").drop("__p")
 
 
-def analysed(files: DataFrame, selected: Column | None = None, wanted_code: Column | None = None, **chosen: Column) -> DataFrame:
+def analysed(files: DataFrame, selected: Column | None = None, wanted_code: Column | None = None, conf: EngineConf | None = None, **chosen: Column) -> DataFrame:
     """probed files with stream, quality, target, conflicts and can_be_imported; chosen overrides fields of the target.
 
+    Chosen bitrates from 32000 to 320000 and FLAC levels from 0 to 12 only; others raise. conf has the ultrasound limit and the default bitrate and level.
     stream is the selected one (selected holds the indexes of a file's selected streams), the first if none is selected; it is the one that is judged and imported.
     """
+    conf = conf or EngineConf()
+    for field, checked in (("aac_bitrate", rules.checked_bitrate), ("flac_compression_level", rules.checked_level)):
+        if field in chosen:
+            chosen[field] = checked(chosen[field].cast("int"))
     wanted = F.try_element_at(selected, F.lit(1)) if selected is not None else F.lit(None).cast("int")
     of_index = F.filter("streams", lambda s: wanted.isNull() | (s["index"] == wanted))
     files = files.withColumn("stream", F.try_element_at(of_index, F.lit(1)))
     first = F.col("stream")
     channels, rate = values.or_default(first["nb_channels"], 1), values.or_default(first["sample_rate"], 48_000)
-    quality = rules.source_quality(first["codec_name"], rate, first["bit_rate"], channels, first["sample_format"])
+    quality = rules.source_quality(first["codec_name"], rate, first["bit_rate"], channels, first["sample_format"], conf.ultrasound_threshold_hz)
     rows = files.withColumn("quality", F.when(F.size("streams") > 0, quality))
-    rows = rows.withColumn("target", rules.with_overrides(rules.suggested_target(F.col("quality"), wanted_code), **chosen))
+    rows = rows.withColumn("target", rules.with_overrides(rules.suggested_target(F.col("quality"), wanted_code, conf.aac_default_bitrate, conf.flac_default_level), **chosen))
     rows = rows.withColumn("conflicts", rules.conflicts(F.col("quality"), F.col("target")))
+    rows = rows.withColumn("copy", rules.copy_report(first["codec_name"], F.col("target")))
     decodable = F.coalesce(first["codec_name"].isin(*STORABLE), F.lit(False))
     can = rules.importable(F.col("streams"), F.lit(None).cast("array<int>") if selected is None else selected, decodable)
     blocked = F.size(F.coalesce("conflicts.blocking", F.array().cast("array<string>"))) > 0
@@ -101,4 +108,5 @@ def reports(analysed_files: DataFrame) -> DataFrame:
     from wavestrata.functions.metadata import report_text
 
     c = F.col
-    return analysed_files.select("path", report_text(c("path"), c("container"), c("quality"), c("target"), c("conflicts"), c("can_be_imported")).alias("report"))
+    text = report_text(c("path"), c("container"), c("quality"), c("target"), c("conflicts"), c("can_be_imported"), c("streams"), c("tags"), c("copy"), c("probe_error"))
+    return analysed_files.select("path", text.alias("report"))
