@@ -204,7 +204,9 @@ def test_keep_one(docs, rows):
     assert sorted(i for i in got if i is not None) == sorted(expected) and got.count(None) == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("links", [1 << 18, 7])
+def test_components(spark, monkeypatch, links):
+    monkeypatch.setattr(components, "_LINKS", links)  # all in one task, or many tasks and rounds
     edges = [(k, k + 1) for k in range(50)] + [(100, 200), (200, 300), (7, 7)] + [(1000, 2000 + k) for k in range(300)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
     assert got == {**{k: 0 for k in range(51)}, 100: 100, 200: 100, 300: 100, 1000: 1000, **{2000 + k: 1000 for k in range(300)}}

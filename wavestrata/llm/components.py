@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavestrata.llm.store import dropped, written
+from wavestrata.llm.textkit import tidy
+
+_LINKS = 1 << 18
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,9 +36,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as links of each node to the least node of its component in the task."""
+    a = b = np.zeros(0, np.int64)
     for batch in batches:
-        a, b = forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        a, b = forest(np.append(a, batch.column(0).to_numpy()), np.append(b, batch.column(1).to_numpy()))
+    for s in range(0, len(a), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[s : s + (1 << 16)]) for x in (a, b)], ["a", "b"])
 
 
 def _with_least(links: DataFrame, node: str, least: DataFrame) -> DataFrame:
@@ -57,12 +63,14 @@ def _settled(links: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link, component being its least node.
 
-    links has columns a and b; none may be null. Without links the result is empty. Each round computes the least neighbour of each node with map-side
+    links has columns a and b; none may be null. Without links the result is empty. Tasks of about _LINKS links first link each node to the least
+    one of its component within the task. Each round then computes the least neighbour of each node with map-side
     aggregation and writes the new links to the shared folder, until all links lead straight to the least nodes. The number of rounds
     grows with the logarithm of the longest path.
     """
     given = written(links.select("a", "b").where("a <> b"), "given")  # so that no task needs Python workers for two steps at once
-    links = written(given.mapInArrow(_contract, "a long, b long").distinct(), "links")
+    tasks = -(-given.count() // _LINKS) or 1
+    links = written(given.coalesce(tasks).mapInArrow(tidy(_contract), "a long, b long").distinct(), "links")
     dropped(given)
     while not _settled(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
