@@ -379,8 +379,8 @@ def class_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     members = written(placed.join(open_, "group"), "members")
     entry = F.struct("token", "place", F.coalesce("of_group", "c_key").alias("of_group"), (F.col("key") == F.col("c_key")).alias("centre"))
     prefix = starred.join(members.select("key").distinct(), "key", "left_semi").join(of_centre, "c_key", "left").groupBy("key").agg(F.collect_list(entry).alias("prefix"))
-    known = written(sets.join(prefix, "key"), "asked")
-    known = members.join(known, "key").withColumn("probe", outside)
+    described_sets = written(sets.join(prefix, "key"), "asked")
+    known = members.join(described_sets, "key").withColumn("probe", outside)
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     fields = ["key", "component", "ranges", "grams", "prefix"]
@@ -390,7 +390,7 @@ def class_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     second = dealt.mapInArrow(tidy(_probed(num, den)), "a long, b long")
     old = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     linked = components(old.unionByName(second))
-    dropped(centre, starred, pairs, sets, placed, open_, members)
+    dropped(centre, starred, pairs, sets, joined, placed, open_, members, described_sets)
     return described.select("doc_id", "key", "n"), linked
 
 
