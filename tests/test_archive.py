@@ -230,3 +230,12 @@ def test_results_say_what_was_stored(spark, tmp_path):
     rows = Archive.create(spark, str(tmp_path / "x")).import_files(files_of(spark, tmp_path / "files")).collect()
     assert [(r.input_no, r.target_format, r.copy_mode_used) for r in rows] == [(0, "flac", False), (1, "aac", True)]
     assert all(abs(r.compression_ratio - r.original_size_bytes / r.compressed_size_bytes) < 1e-9 for r in rows)
+
+
+def test_index_summary_follows_the_settings(spark, archive):
+    from wavestrata.config import EngineConf
+
+    rows = {r.rec_id: r for r in archive.index_summary().collect()}
+    assert rows[0].total_frames == 5 and rows[0].total_samples == 20_000 and rows[0].duration_ms == 416 and rows[0].index_chunk == 5000
+    small = Archive(spark, archive.path, EngineConf(index_min_chunk_frames=2))
+    assert {r.rec_id: r.index_chunk for r in small.index_summary().collect()}[0] == 5

@@ -31,16 +31,21 @@ def sized(frames: DataFrame, key: str, offset: str, total: str, name: str = "fra
     return frames.withColumn(name, F.coalesce(following, F.col(total)) - F.col(offset))
 
 
-def statistics(frames: DataFrame, key: str = "rec_id", rate: int | Column = 48_000) -> DataFrame:
-    """Per recording: frames, samples, duration, and size minimum, maximum, mean and population deviation."""
+def statistics(frames: DataFrame, key: str = "rec_id", rate: int | Column | None = 48_000) -> DataFrame:
+    """Per recording: frames, samples, duration, and size minimum, maximum, mean and population deviation.
+
+    rate is a number or a column of the key; if it is None, frames has a column rate.
+    """
     last = F.max_by(F.struct("sample_pos", "n_samples"), "sample_pos")
-    rate = F.lit(rate) if isinstance(rate, int) else rate
+    own = F.max("rate") if rate is None else F.lit(None)
     sums = frames.groupBy(key).agg(
+        own.alias("__rate"),
         F.count("*").alias("total_frames"), last.alias("last"), F.min("frame_size").alias("min_size"), F.max("frame_size").alias("max_size"),
         F.avg("frame_size").alias("mean_size"), F.stddev_pop("frame_size").alias("std_size"),
     )
     total = F.col("last.sample_pos") + F.col("last.n_samples")
-    return sums.withColumns({"total_samples": total, "duration_ms": F.floor(total * 1000 / rate).cast("long")}).drop("last")
+    rate = F.col("__rate") if rate is None else F.lit(rate) if isinstance(rate, int) else rate
+    return sums.withColumns({"total_samples": total, "duration_ms": F.floor(total * 1000 / rate).cast("long")}).drop("last", "__rate")
 
 
 def validated(frames: DataFrame, key: str = "rec_id", longest: int = AAC_LONGEST_FRAME) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +20,28 @@ def row_numbers(rows: DataFrame, order: str, name: str, start: int = 0) -> DataF
     else:  # quantiles of a bounded sample by hash
         picked = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(16 * n).collect())
         cuts = sorted({picked[len(picked) * k // n] for k in range(1, n)}) if picked else []
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    placed = rows.withColumn("__range", F.when(F.col(order).isNull(), -1).otherwise(place))
-    counts = sorted((r[0], r[1]) for r in placed.groupBy("__range").count().collect())
-    before, total = {}, start
-    for k, c in counts:
-        before[k], total = total, total + c
-    offset = F.try_element_at(F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v).cast("long"))]), F.col("__range")) if before else F.lit(0)
+    placed = rows.withColumn("__range", F.when(F.col(order).isNull(), -1).otherwise(_below(F.col(order), cuts)))
+    counts = {r[0]: r[1] for r in placed.groupBy("__range").count().collect()}
+    offsets, total = [], start
+    for k in range(-1, len(cuts) + 1):
+        offsets.append(total)
+        total += counts.get(k, 0)
+    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("__range") + 2)
     own = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_first()))
     return placed.withColumn(name, (own - 1 + offset).cast("long")).drop("__range")
+
+
+def _below(value: Column, cuts: list) -> Column:
+    """How many of the rising cuts are below the value, by halving."""
+    if not cuts:
+        return F.lit(0)
+    array = F.array(*[F.lit(c) for c in cuts])
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        right = F.struct((middle + 1).alias("low"), s["high"].alias("high"))
+        left = F.struct(s["low"].alias("low"), middle.alias("high"))
+        return F.when(s["low"] >= s["high"], s).when(F.get(array, middle) < value, right).otherwise(left)
+
+    begin = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), begin, halve)["low"]

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from wavestrata.config import EngineConf
 from wavestrata.errors import ArchiveBusy, CodecUnavailable, DuplicateRecording, ImportBlocked, IncompleteArchive, NotAnArchive, VersionMismatch
 from wavestrata.functions import signal
-from wavestrata.operators import catalog, lookup
+from wavestrata.operators import catalog, index, lookup
 from wavestrata.operators.ranking import row_numbers
 from wavestrata.sources import codecs, formats, probe
 
@@ -150,6 +150,13 @@ class Archive:
         plain = self.recordings.withColumns({c: F.to_json(c) for c in ("general_meta", "user_meta")})
         return {"recordings": catalog.snapshot(plain, text, items), "blobs": catalog.snapshot(self.blobs, text, items), "frames": self.frames}
 
+    def index_summary(self) -> DataFrame:
+        """Per recording the statistics of its frame index, and in chunks of how many frames the settings would cut it."""
+        rates = self.recordings.select("rec_id", "sample_rate")
+        c = self.conf
+        stats = index.statistics(self.frames.join(rates, "rec_id").withColumnRenamed("sample_rate", "rate"), rate=None)
+        return stats.withColumn("index_chunk", index.adaptive_chunk(F.col("total_frames"), c.index_chunk_frames, c.index_min_chunk_frames, c.index_max_chunks))
+
     # writing
 
     def is_known(self, files: DataFrame) -> DataFrame:

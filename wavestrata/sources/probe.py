@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavestrata.config import EngineConf
 from wavestrata.functions import rules, values
@@ -30,29 +31,40 @@ _FOUND = f"container {CONTAINER}, streams array<{STREAM}>, tags map<string,strin
 def probed(files: DataFrame) -> DataFrame:
     """files with sha256, container, streams, tags, payload_from, payload_to and probe_error; content stays.
 
-    The content goes to Python once and is not joined back. Empty, damaged and unknown files have no stream; a null content is empty.
+    The rows pass through Python once, content included, and nothing is joined back. Empty, damaged and unknown files have no stream;
+    a null content is empty. Columns of files with the names of added ones are replaced.
     """
+    added = T.StructType.fromDDL(_FOUND)
+    hashed = files.drop(*added.names).withColumn("sha256", values.content_hash(F.col("content")))
 
-    @F.pandas_udf(_FOUND)
-    def parse(contents: pd.Series) -> pd.DataFrame:
-        rows = []
-        for content in contents:
-            data = b"" if content is None else bytes(content)
-            error, s = None, None
-            try:
-                s = formats.parse(data)
-            except (ValueError, StopIteration, IndexError, formats.OggFormatError) as e:
-                error = str(e) or type(e).__name__
-            if s is None:
-                rows.append(({"format_name": None, "duration": None, "size": len(data), "nb_streams": 0}, [], {}, None, None, error))
-                continue
-            seconds = s.n_samples / s.sample_rate if s.n_samples is not None and s.sample_rate else None
-            stream = {"index": 0, "nb_channels": s.channels, "sample_rate": s.sample_rate, "sample_format": s.sample_format, "codec_name": s.codec, "nb_samples": s.n_samples, "bit_rate": s.bit_rate}
-            rows.append(({"format_name": s.container, "duration": seconds, "size": len(data), "nb_streams": 1}, [stream], s.tags, *s.payload, error))
-        return pd.DataFrame(rows, columns=["container", "streams", "tags", "payload_from", "payload_to", "probe_error"]).astype({"payload_from": "Int64", "payload_to": "Int64"})
-
-    hashed = files.withColumns({"sha256": values.content_hash(F.col("content")), "__p": parse("content")})
-    return hashed.select("*", "__p.*").drop("__p")
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.concat([pdf.reset_index(drop=True), _parsed(pdf.content)], axis=1)
+
+    return hashed.mapInPandas(parse, T.StructType([*hashed.schema.fields, *added.fields]))
+
+
+def _parsed(contents: pd.Series) -> pd.DataFrame:
+    rows = []
+    for content in contents:
+        data = b"" if content is None else bytes(content)
+        error, s = None, None
+        try:
+            s = formats.parse(data)
+        except (ValueError, StopIteration, IndexError, formats.OggFormatError) as e:
+            error = str(e) or type(e).__name__
+        if s is None:
+            rows.append(({"format_name": None, "duration": None, "size": len(data), "nb_streams": 0}, [], {}, None, None, error))
+            continue
+        seconds = s.n_samples / s.sample_rate if s.n_samples is not None and s.sample_rate else None
+        stream = {"index": 0, "nb_channels": s.channels, "sample_rate": s.sample_rate, "sample_format": s.sample_format, "codec_name": s.codec, "nb_samples": s.n_samples, "bit_rate": s.bit_rate}
+        rows.append(({"format_name": s.container, "duration": seconds, "size": len(data), "nb_streams": 1}, [stream], s.tags, *s.payload, error))
+    return pd.DataFrame(rows, columns=["container", "streams", "tags", "payload_from", "payload_to", "probe_error"]).astype({"payload_from": "Int64", "payload_to": "Int64"})
+
+
+def _computed(rows: DataFrame, name: str, column: Column) -> DataFrame:
+    """rows with a column that filters above it refer to by name. Each rule uses the ones before many times; put in for each other, they outgrow the optimizer."""
+    return rows.drop(name).select("*", F.explode(F.array(column)).alias(name))
 
 
 def analysed(files: DataFrame, selected: Column | None = None, wanted_code: Column | None = None, conf: EngineConf | None = None, **chosen: Column) -> DataFrame:
@@ -67,13 +79,13 @@ def analysed(files: DataFrame, selected: Column | None = None, wanted_code: Colu
             chosen[field] = checked(chosen[field].cast("int"))
     wanted = F.try_element_at(selected, F.lit(1)) if selected is not None else F.lit(None).cast("int")
     of_index = F.filter("streams", lambda s: wanted.isNull() | (s["index"] == wanted))
-    files = files.withColumn("stream", F.try_element_at(of_index, F.lit(1)))
+    files = _computed(files, "stream", F.try_element_at(of_index, F.lit(1)))
     first = F.col("stream")
     channels, rate = values.or_default(first["nb_channels"], 1), values.or_default(first["sample_rate"], 48_000)
     quality = rules.source_quality(first["codec_name"], rate, first["bit_rate"], channels, first["sample_format"], conf.ultrasound_threshold_hz)
-    rows = files.withColumn("quality", F.when(F.size("streams") > 0, quality))
-    rows = rows.withColumn("target", rules.with_overrides(rules.suggested_target(F.col("quality"), wanted_code, conf.aac_default_bitrate, conf.flac_default_level), **chosen))
-    rows = rows.withColumn("conflicts", rules.conflicts(F.col("quality"), F.col("target")))
+    rows = _computed(files, "quality", F.when(F.size("streams") > 0, quality))
+    rows = _computed(rows, "target", rules.with_overrides(rules.suggested_target(F.col("quality"), wanted_code, conf.aac_default_bitrate, conf.flac_default_level), **chosen))
+    rows = _computed(rows, "conflicts", rules.conflicts(F.col("quality"), F.col("target")))
     rows = rows.withColumn("copy", rules.copy_report(first["codec_name"], F.col("target")))
     decodable = F.coalesce(first["codec_name"].isin(*STORABLE), F.lit(False))
     can = rules.importable(F.col("streams"), F.lit(None).cast("array<int>") if selected is None else selected, decodable)
